@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import simhash
+from marlstone.llm import chat, sharding, simhash, urlfilter
 from marlstone.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash}
+    return {"op1_chat": op1_chat, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": chat.chat_sql(), "op5_urls": urlfilter.url_filter_sql()}
