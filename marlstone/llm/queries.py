@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, sharding, simhash, urlfilter
+from marlstone.llm import bpe, chat, decontam, sharding, simhash, urlfilter
 from marlstone.llm.common import table
 
 
@@ -15,6 +16,17 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -29,9 +41,13 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards}
+    return {"op1_chat": op1_chat, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards, "op9_leaks": op9_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.chat_sql(), "op5_urls": urlfilter.url_filter_sql()}
+    return {"op1_chat": chat.chat_sql(), "op5_urls": urlfilter.url_filter_sql(), "op9_leaks": decontam.overlaps_sql()}
