@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontam, sharding, simhash, urlfilter
+from marlstone.llm import bpe, chat, decontam, langid, sharding, simhash, toxicity, urlfilter
 from marlstone.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -45,8 +51,14 @@ def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards, "op9_leaks": op9_leaks}
+    return {"op1_chat": op1_chat, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards, "op9_leaks": op9_leaks, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
