@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontam, langid, sharding, simhash, toxicity, urlfilter
+from marlstone.llm import bpe, cdc, chat, decontam, langid, maintext, sharding, simhash, toxicity, urlfilter
 from marlstone.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -42,6 +46,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.kd_tree_shards(table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,7 +66,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op8_shards": op8_shards, "op9_leaks": op9_leaks, "op10_langid": op10_langid}
+    return {"op1_chat": op1_chat, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op7_maintext": op7_maintext, "op8_shards": op8_shards, "op9_leaks": op9_leaks, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
