@@ -20,7 +20,7 @@ first in alphabetical order.  Repeated rows and null doc_ids are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,9 +200,31 @@ def sample_labelled(docs: DataFrame, keep: Column, *, id_col: str, text_col: str
     return [(t, lang) for lang, texts in out.items() for t in texts]
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): spans are (first_word, words, lang) of the path, in order."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def identify(
+    docs: DataFrame,
+    model: Model,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Sequence[str] | None = None,
+    lang_col: str = "lang_pred",
+    score_col: str = "score",
+    spans_col: str = "spans",
+    chunk_words: int = 2_000_000,
+) -> DataFrame:
+    """(doc_id, lang_pred, score, spans), with keep those columns instead of doc_id.
+
+    spans are (first_word, words, lang) of the path, in order.
+    """
+    if keep is None:
+        docs, keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), ["doc_id"]
+        text_col = "text"
+    new = [lang_col, score_col, spans_col]
+    keep = [c for c in keep if c not in new]
+    rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
+    at = rows.columns.index(text_col if text_col in keep else "__text")
+    kinds = ("string", "double", "array<struct<first_word:int,words:int,lang:string>>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), *(f"`{n}` {k}" for n, k in zip(new, kinds))])
 
     def label(texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array]:
         n, langs = len(texts), len(model.languages)
@@ -228,20 +250,21 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
             start = 0
             while start < batch.num_rows:
                 base = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, base + 6 * chunk_words, "right")))
-                ids, texts = (batch.column(k).slice(start, stop - start) for k in (0, 1))
+                some = batch.slice(start, stop - start)
                 if model.languages:
-                    names, score, spans = label(texts)
+                    names, score, spans = label(some.column(at))
                 else:
-                    names, score, spans = [UNKNOWN] * len(ids), np.zeros(len(ids)), pa.array([[]] * len(ids), SPANS)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score), spans], ["doc_id", "lang_pred", "score", "spans"])
+                    names, score, spans = [UNKNOWN] * len(some), np.zeros(len(some)), pa.array([[]] * len(some), SPANS)
+                found = [pa.array(names, pa.string()), pa.array(score), spans]
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), *found], [*keep, *new])
                 start = stop
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>")
+    return rows.mapInArrow(run, schema)
 
 
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))

@@ -15,6 +15,13 @@ shard of its bucket, so no task meets an unbounded bucket.  The trees travel by
 shuffle and not by a cluster-wide broadcast: their sum grows with the corpus and
 has no proven bound.
 
+Wider fingerprints.  With `lanes` above 1 a fingerprint has 64 bits for each lane,
+all from the same shingle hashes, which estimates the similarity of two texts' shingle
+sets: of w bits, about w * acos(2J / (1 + J)) / pi differ at similarity J.  For so
+wide a radius no choice of blocks is selective; buckets are then keyed by `bands`
+fixed samples of `band_bits` bits each, which find a pair with bit difference share p
+with probability 1 - (1 - (1 - p)**band_bits)**bands.
+
 A subtree whose members all lie in the query's component is not entered, and a
 bucket returns a star of its components, not all pairs; a group of n near copies
 thus costs about n links instead of n squared.
@@ -31,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialize
@@ -40,43 +47,82 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint_of(text: str | None, shingle_words: int) -> int:
-    """The fingerprint of one text as an unsigned integer."""
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes of a further lane, by the SplitMix64 finaliser."""
+    x = x + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # of bytes: lowers A-Z and splits at \x20 \x09-\x0D only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle_words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle_words + 1].tolist()
     stops = (ends[shingle_words - 1 :] - 1).tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 65536):
-        part = hashes[k : k + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
+
+
+def fingerprint_of(text: str | None, shingle_words: int, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of one text: an unsigned 64-bit number for each lane."""
+    hashes = shingle_hashes(text, shingle_words)
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes if len(hashes) else 0):
+        ones = np.zeros(BITS, np.int64)
+        for k in range(0, len(hashes), 65536):
+            part = hashes[k : k + 65536]
+            part = _mixed(part, lane) if lane else part
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+        out[lane] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _column(fps: np.ndarray) -> pa.Array:
+    """Fingerprints (row x lane) as a column: numbers for one lane, bytes for more."""
+    if fps.shape[1] == 1:
+        return pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64))
+    return pa.array([r.tobytes() for r in fps.astype("<u8")], pa.binary())
+
 
+def _array(column: pa.Array, lanes: int) -> np.ndarray:
+    if lanes == 1:
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, lanes)
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each row's whole text as a signed 64-bit integer."""
+
+def _type(lanes: int) -> str:
+    return "long" if lanes == 1 else "binary"
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, lanes: int = 1) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row's whole text, a signed 64-bit integer or the bytes of several."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.fromiter((fingerprint_of(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            out = np.array([fingerprint_of(t.as_py(), shingle_words, lanes) for t in batch.column(1)], np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _column(out)], ["doc_id", "fp"])
+
+    return rows.mapInArrow(run, f"doc_id long, fp {_type(lanes)}")
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; the last axis is of lanes."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 class BKTree:
     """A BK-tree over fingerprints, kept in preorder so that a subtree is a range of positions."""
 
-    LEAF = 32
+    LEAF = 64
 
     def __init__(self, fps: np.ndarray):
         self.nodes: list[tuple[int, int, list[tuple[int, int]]]] = []  # start, stop, [(distance, child)]
@@ -99,7 +145,7 @@ class BKTree:
                 continue
             order.append(members[:1])
             rest = members[1:]
-            distance = np.bitwise_count(fps[rest] ^ fps[members[0]])
+            distance = _distance(fps[rest], fps[members[0]])
             by = np.argsort(distance, kind="stable")
             rest, distance = rest[by], distance[by]
             cuts = np.flatnonzero(np.diff(distance)) + 1
@@ -122,11 +168,11 @@ class BKTree:
             if not len(q):
                 continue
             if not children:
-                near = np.bitwise_count(queries[q][:, None] ^ self.fps[None, start:stop]) <= radius
+                near = _distance(queries[q][:, None], self.fps[None, start:stop]) <= radius
                 a, b = np.nonzero(near)
                 found.append((q[a], b + start))
                 continue
-            distance = np.bitwise_count(queries[q] ^ self.fps[start]).astype(np.int16)
+            distance = _distance(queries[q], self.fps[start])
             hit = q[distance <= radius]
             found.append((hit, np.full(len(hit), start)))
             for edge, child in children:
@@ -161,12 +207,12 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def components_within(fps: np.ndarray, radius: int, block: int = 1024) -> np.ndarray:
-    """For each fingerprint the position of its component's first member, links being Hamming distance <= radius."""
+    """For each fingerprint (row x lane) the position of its component's first member, links being Hamming distance <= radius."""
     labels = np.arange(len(fps))
     if len(fps) < 2:
         return labels
     if len(fps) <= BKTree.LEAF:
-        a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)
+        a, b = np.nonzero(_distance(fps[:, None], fps[None, :]) <= radius)
         return _merge(labels, a, b)
     tree = BKTree(fps)
     starts = [n[0] for n in tree.nodes]
@@ -200,37 +246,60 @@ def blocks_for(distinct: int, radius: int, bucket_rows: int = 64) -> int:
     return radius + 7
 
 
-def link_stars(distinct: DataFrame, *, radius: int, count: int, shard_rows: int = 4096) -> DataFrame:
+def _by_blocks(distinct: DataFrame, radius: int, count: int) -> DataFrame:
+    """(fp, bucket): all choices of blocks, so that every pair within the radius shares a bucket."""
+    masks = _block_masks(blocks_for(count, radius), radius)
+    values = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]
+    return distinct.select("fp", F.explode(F.array(*values)).alias("bucket"))
+
+
+def _by_bands(distinct: DataFrame, lanes: int, bands: int, band_bits: int) -> DataFrame:
+    """(fp, bucket): fixed samples of bits, the same on every machine."""
+    picked = np.stack([np.random.default_rng(SEED + k).choice(lanes * BITS, band_bits, replace=False) for k in range(bands)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = (1 << np.arange(band_bits)).astype(np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                some = batch.column(0).slice(k, 2048)
+                bits = np.unpackbits(_array(some, lanes).view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+                values = bits[:, picked] @ powers + (np.arange(bands) << band_bits)
+                yield pa.RecordBatch.from_arrays([some.take(pa.array(np.repeat(np.arange(len(some)), bands))), pa.array(values.ravel())], ["fp", "bucket"])
+
+    return distinct.mapInArrow(run, f"fp {_type(lanes)}, bucket long")
+
+
+def link_stars(distinct: DataFrame, *, radius: int, count: int, lanes: int = 1, bands: int | None = None, band_bits: int = 12, shard_rows: int = 4096) -> DataFrame:
     """(src, dst): links that join the same fingerprints as all pairs within the radius do.
 
     distinct has one column, fp, without repeats.
     """
-    masks = _block_masks(blocks_for(count, radius), radius)
-    entries = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(masks)])).alias("b")
-    ).select("fp", "b.choice", "b.value")
-    sizes = entries.groupBy("choice", "value").count()
-    hot = sizes.where(F.col("count") > shard_rows).select("choice", "value", F.ceil(F.col("count") / shard_rows).cast("int").alias("shards"))
-    # lone entries have no partner in their bucket and shards of hot buckets meet in pairs
-    some = entries.join(hot, ["choice", "value"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    if lanes == 1 and bands is None:
+        entries = _by_blocks(distinct, radius, count)
+    else:
+        entries = _by_bands(distinct, lanes, bands or bands_for(radius / (lanes * BITS), band_bits), band_bits)
+    sizes = entries.groupBy("bucket").count()
+    hot = sizes.where(F.col("count") > shard_rows).select("bucket", F.ceil(F.col("count") / shard_rows).cast("int").alias("shards"))
+    # the shards of a hot bucket meet in pairs
+    some = entries.join(hot, "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
-    units = some.select(
-        "fp", "choice", "value", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
-    ).select("fp", F.xxhash64("choice", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
+    units = some.select("fp", "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")).select(
+        "fp", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit")
+    )
     dealt = units.repartition(F.col("unit")).sortWithinPartitions("unit", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            labels = components_within(fps.view(np.uint64), radius)
+            labels = components_within(fps, radius)
             members = np.flatnonzero(labels != np.arange(len(fps)))
             return fps[labels[members]], fps[members]
 
         def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([_column(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["src", "dst"])
 
-        rest_fp, rest_unit = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest_fp, rest_unit = np.zeros((0, lanes), np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            fp = np.concatenate([rest_fp, batch.column(0).to_numpy()])
+            fp = np.concatenate([rest_fp, _array(batch.column(0), lanes)])
             unit = np.concatenate([rest_unit, batch.column(1).to_numpy()])
             cuts = np.flatnonzero(np.diff(unit)) + 1
             last = cuts[-1] if len(cuts) else 0
@@ -242,7 +311,12 @@ def link_stars(distinct: DataFrame, *, radius: int, count: int, shard_rows: int
         if len(rest_fp) > 1:
             yield batch_of([stars(rest_fp)])
 
-    return dealt.mapInArrow(run, "src long, dst long").where("src <> dst").distinct()
+    return dealt.mapInArrow(run, f"src {_type(lanes)}, dst {_type(lanes)}").where("src <> dst").distinct()
+
+
+def bands_for(share: float, band_bits: int, missed: float = 0.002) -> int:
+    """The bands that find a pair whose bits differ in three quarters of the share, but for the missed part."""
+    return int(np.ceil(np.log(missed) / np.log(1 - (1 - 0.75 * share) ** band_bits)))
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,16 +341,42 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4, shard_rows: int = 4096
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 4,
+    radius: int = 4,
+    lanes: int = 1,
+    bands: int | None = None,
+    band_bits: int = 12,
+    shard_rows: int = 4096,
 ) -> DataFrame:
     """(doc_id, fp, component_id): each row's fingerprint and the least doc_id it reaches over links."""
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "simhash-prints")
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), shard_rows=shard_rows)
+    stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
     labels = component_labels(nodes, stars).select("fp", F.col("label.rep").alias("linked"))
     known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("linked", "rep").alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each near-duplicate group, that with the least doc_id, null last.
+
+    Of rows that repeat both id and text one stays; rows that repeat an id with other texts are documents of their own.
+    """
+    columns = docs.columns
+    far = lambda *c: F.lit(1 << 62) + F.pmod(F.xxhash64(*c), F.lit(1 << 62))
+    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), far(text_col)))
+    if not named.groupBy("__id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["__id", text_col])
+        place = F.row_number().over(Window.partitionBy("__id").orderBy(text_col))
+        named = materialize(named.withColumn("__id", F.when(place > 1, far("__id", text_col)).otherwise(F.col("__id"))), "simhash-named")
+    groups = near_duplicate_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, **how)
+    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    return named.join(keepers, "__id", "left_semi").select(*columns)
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -20,7 +20,7 @@ labelled row all scores are 0.  Repeated rows and null doc_ids are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -351,21 +351,30 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([t for t, _ in rows], [label for _, label in rows], **how)
 
 
-def score(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, score): the score of every whole text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def score(
+    docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score", chunk_bytes: int = 8 << 20
+) -> DataFrame:
+    """(doc_id, score): the score of every whole text; with keep, those columns and the score."""
+    if keep is None:
+        docs, keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), ["doc_id"]
+        text_col = "text"
+    keep = [c for c in keep if c != score_col]
     if net is None:
-        return rows.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(0.0).alias(score_col))
+    rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
+    at = rows.columns.index(text_col if text_col in keep else "__text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), f"`{score_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
             start = 0
             while start < batch.num_rows:
                 base = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
-                scores = net.score_texts(batch.column(1).slice(start, stop - start))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(scores.astype(np.float64))], ["doc_id", "score"])
+                some = batch.slice(start, stop - start)
+                scores = pa.array(net.score_texts(some.column(at)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), scores], [*keep, score_col])
                 start = stop
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, schema)

@@ -93,3 +93,10 @@ def test_empty_table_and_no_labels(spark):
     (r,) = run(spark, [(1, "abc", None)], [(1, "abc", None)])
     assert (r.lang_pred, r.score, r.spans) == ("und", 0.0, [])
     assert langid.words_of(pa.array([None, "A-b"])).to_pylist()[1] == ["a", "b"]
+
+
+def test_kept_columns(spark):
+    df = spark.createDataFrame([(1, "kato miren", "x", 2.5), (None, None, "y", None)], "doc_id long, text string, lang_pred string, score double")
+    out = langid.identify(df, langid.fit([("kato", "aa")]), keep=df.columns, lang_col="l", score_col="s", spans_col="w")
+    assert out.columns == [*df.columns, "l", "s", "w"]
+    assert sorted((str(r.doc_id), r.lang_pred, r.score, r.l) for r in out.collect()) == [("1", "x", 2.5, "aa"), ("None", "y", None, "und")]

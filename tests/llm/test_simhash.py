@@ -85,7 +85,7 @@ def test_tree_finds_all_components():
             x ^= 1 << int(b)
         fps.append(x)
     fps = np.unique(np.array(fps, np.uint64))
-    labels = simhash.components_within(fps, 4, block=64)
+    labels = simhash.components_within(fps.reshape(-1, 1), 4, block=64)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     want = np.arange(len(fps))
     while True:
@@ -106,3 +106,36 @@ def test_every_pair_within_the_radius_shares_a_bucket():
             for bit in rng.sample(range(64), 4):
                 b ^= 1 << bit
             assert any(a & m == b & m for m in masks)
+
+
+def jaccard(a, b, n=5):
+    grams = lambda t: {tuple(w[k : k + n]) for w in [t.split()] for k in range(max(1, len(w) - n + 1))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(3000)]
+    rows = []
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(rng.choice([80, 200, 400]))]
+        near = list(base)
+        for _ in range(len(base) // 100 + 1):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(base[: len(base) // 2] + [rng.choice(words) for _ in range(len(base) // 2)]))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5, lanes=4, radius=50)
+    kept = {r.doc_id for r in kept.collect()}
+    texts = dict(rows)
+    similar = [i for i in range(150) if jaccard(texts[3 * i], texts[3 * i + 1]) >= 0.85]
+    assert len(similar) > 100 and sum(3 * i + 1 in kept for i in similar) == 0
+    assert all(3 * i in kept and 3 * i + 2 in kept for i in range(150))
+
+
+def test_one_of_each_with_nulls_and_repeated_ids(spark):
+    rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (None, "a b c d e f", 3), (7, "x y z", 4), (7, "x y z", 4), (7, "other words here", 5), (None, "lone", 6), (None, "lone", 7), (9, None, 8), (8, "", 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, "a b c d e f"), (7, "x y z"), (7, "other words here"), (None, "lone"), (8, "")], key=str)
+    assert simhash.keep_one_of_each(df.limit(0)).collect() == []

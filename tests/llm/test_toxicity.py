@@ -113,3 +113,10 @@ def test_training_uses_labelled_rows_only(spark):
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), None).collect() == []
+
+
+def test_kept_columns(spark, net):
+    df = spark.createDataFrame([(1, "taln", 9.0), (None, None, None)], "doc_id long, text string, score double")
+    for n in (net, None):
+        out = toxicity.score(df, n, keep=df.columns, score_col="t")
+        assert out.columns == ["doc_id", "text", "score", "t"] and sorted(str(r.score) for r in out.collect()) == ["9.0", "None"]
