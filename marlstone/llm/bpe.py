@@ -7,7 +7,7 @@ are the ids of its words in order.
 Encoding.
 1. The scan splits texts into words and cuts its rows into chunks of about
    `chunk_bytes`; a chunk has a dictionary of its distinct words, dealt by hash over
-   `word_parts` parts.
+   `word_parts` parts (as many as the scan has partitions, within bounds).
 2. The parts of all chunks are shuffled by part number: each distinct word of the
    corpus arrives at one task, which encodes it once with the tokenizer.
 3. The ids go back to the chunks.  A second pass over the same scan has written each
@@ -30,8 +30,10 @@ are kept.  An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialize
 
 CHUNK_BYTES = 8 << 20
-WORD_PARTS = 128
-CACHED_WORDS = 2_000_000
+LEAST_PARTS, MOST_PARTS = 128, 4096
+CACHED_WORDS = 1_000_000
 #: White space of the Unicode property that tokenizers use; str.split() also splits at these four, which are no white space there.
 NOT_SPACE = "[\x1c-\x1f]"
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -56,6 +58,7 @@ def _tokenizer(source: str):
     """The tokenizer of a worker process, read once."""
     key = zlib.crc32(source.encode())
     if key not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         _loaded[key] = Tokenizer.from_str(source)
@@ -136,11 +139,12 @@ def _stable(docs: DataFrame) -> DataFrame:
     return materialize(docs, "bpe-docs") if re.search("Exchange|Arrow|Pandas|Python|Join|Aggregate|Window", plan) else docs
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, word_parts: int = WORD_PARTS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, word_parts: int | None = None) -> DataFrame:
     """(doc_id, ids): the ids of every whole text, without special tokens added."""
     source = open(tokenizer_path, encoding="utf-8").read()  # of the driver; its content goes along with the tasks
     _check_supported(source)
     texts = _stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    word_parts = word_parts or min(MOST_PARTS, max(LEAST_PARTS, texts.rdd.getNumPartitions()))  # a part is the work of a task
     texts = texts.withColumn("partition", F.spark_partition_id())  # of the scan, whatever the stage it runs in
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,24 +160,24 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(source)
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                blob = r["blob"]
-                words = pa.decompress(blob[:-4], int.from_bytes(blob[-4:], "little"), codec="zstd", asbytes=True).decode().split("\n")
-                fresh = [w for w in words if w not in known]
-                if len(known) + len(fresh) > CACHED_WORDS:
-                    known.clear()
-                    fresh = words
-                for k in range(0, len(fresh), 4096):
-                    some = fresh[k : k + 4096]
-                    known.update(zip(some, (e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False))))
-                ids = [known[w] for w in words]
-                lens = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter((x for i in ids for x in i), np.int32, int(lens.sum()))
-                out.append((r["chunk"], r["part"], r["checksum"], len(ids), [len(flat)], _pack(lens, flat)))
-            if out:
+            for k in range(0, batch.num_rows, 64):
+                out = []
+                for r in batch.slice(k, 64).to_pylist():
+                    blob = r["blob"]
+                    words = pa.decompress(blob[:-4], int.from_bytes(blob[-4:], "little"), codec="zstd", asbytes=True).decode().split("\n")
+                    fresh = [w for w in words if w not in known]
+                    if len(known) + len(fresh) > CACHED_WORDS:
+                        known.clear()
+                        fresh = words
+                    for at in range(0, len(fresh), 1024):
+                        some = fresh[at : at + 1024]
+                        known.update(zip(some, (array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+                    ids = [known[w] for w in words]
+                    lens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+                    flat = np.frombuffer(b"".join(ids), np.int32)
+                    out.append((r["chunk"], r["part"], r["checksum"], len(ids), [len(flat)], _pack(lens, flat)))
                 yield _rows(out)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +207,8 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 
         chunk, parts = None, []
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
                 if r["part"] < 0:
                     if chunk:
                         yield done(chunk, parts)
@@ -238,17 +243,16 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, ids_col: str = "ids", out
         for batch in batches:
             ids = batch.column(names.index(ids_col))
             lens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            step, start = 1 << 21, 0
-            texts = []
+            step, start = 1 << 20, 0
             ends = np.cumsum(lens)
             while start < len(ids):  # few enough pieces at once that their text stays small
                 base = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, base + step, "right")))
                 joined = table.take(ids.slice(start, stop - start).flatten())
                 offsets = np.concatenate(([0], np.cumsum(lens[start:stop]))).astype(np.int32)
-                texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), joined), " "))
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), joined), " ")
+                some = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in range(len(names))), texts], [*names, out_col])
                 start = stop
-            out = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in range(len(names))), out], [*names, out_col])
 
     return encoded.select(*names).mapInArrow(run, schema)
