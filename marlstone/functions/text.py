@@ -238,8 +238,8 @@ def name_variants(name: Column) -> Column:
 def format_bytes(n: Column) -> Column:
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, "0.0"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(n / (1024 * 1024), "0.0"), F.lit(" MB")))
+        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024))
+        .otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
     )
 
 

@@ -1 +1 @@
-
+"""Continuous operators over file-change events."""
