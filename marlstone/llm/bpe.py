@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import bounded_batches, materialize
 
 CHUNK_BYTES = 8 << 20
 LEAST_PARTS, MOST_PARTS = 128, 4096
@@ -143,6 +143,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     """(doc_id, ids): the ids of every whole text, without special tokens added."""
     source = open(tokenizer_path, encoding="utf-8").read()  # of the driver; its content goes along with the tasks
     _check_supported(source)
+    bounded_batches(docs.sparkSession)
     texts = _stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     word_parts = word_parts or min(MOST_PARTS, max(LEAST_PARTS, texts.rdd.getNumPartitions()))  # a part is the work of a task
     texts = texts.withColumn("partition", F.spark_partition_id())  # of the scan, whatever the stage it runs in

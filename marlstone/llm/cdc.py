@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_or_empty
+from marlstone.llm.common import bounded_batches, text_or_empty
 
 LEAST, NORMAL, MOST = 16, 32, 128
 HARD, EASY = 0xFC00, 0xF000
@@ -143,6 +143,7 @@ def edit(text: str, following: str) -> str:
 
 def _with_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, guest, doc_id, text), dealt by bucket and sorted by falling id; a bucket ends with the first row of the next as guest."""
+    bounded_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     seen = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()

@@ -43,3 +43,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let no Arrow batch that goes to Python take more than size bytes, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, f"{1 << 30}b")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > size:
+        spark.conf.set(key, f"{size}b")

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import bounded_batches
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 #: Script ranges: fixed values of the Unicode block layout (first code point, script); a range ends where the next begins.
@@ -210,7 +212,7 @@ def identify(
     lang_col: str = "lang_pred",
     score_col: str = "score",
     spans_col: str = "spans",
-    chunk_words: int = 2_000_000,
+    chunk_words: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, spans), with keep those columns instead of doc_id.
 
@@ -221,6 +223,7 @@ def identify(
         text_col = "text"
     new = [lang_col, score_col, spans_col]
     keep = [c for c in keep if c not in new]
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
     at = rows.columns.index(text_col if text_col in keep else "__text")
     kinds = ("string", "double", "array<struct<first_word:int,words:int,lang:string>>")

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import bounded_batches
+
 CHAR_ROWS = 512
 F32 = np.float32
 
@@ -215,6 +217,16 @@ class Network:
         text, start, size = self.cut(offsets)
         return np.maximum.reduceat(self.score_windows(projected, tokens, start, size), np.searchsorted(text, np.arange(len(texts)))) if len(texts) else np.zeros(0, F32)
 
+    def score_blocks(self, words: list[str], tokens: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 200) -> np.ndarray:
+        """The scores of all windows, block by block of texts, so that few word vectors exist at once."""
+        out = np.empty(len(start), F32)
+        for k in range(0, len(offsets) - 1, block):
+            low, high = offsets[k], offsets[min(k + block, len(offsets) - 1)]
+            own, local = np.unique(tokens[low:high], return_inverse=True)
+            some = slice(*np.searchsorted(text, (k, k + block)))
+            out[some] = self.score_windows(self._projected(self.word_vectors([words[i] for i in own.tolist()])[0]), local, start[some] - low, size[some])
+        return out
+
     # training
 
     def gradients(self, words: list[str], tokens: np.ndarray, starts: np.ndarray, lens: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -294,7 +306,7 @@ def fit(texts: list[str], toxic: list[int], *, window: int = 16, steps: int = 90
         if r < warm_up:
             noise = rng.random(len(text))
         else:
-            noise = net.score_windows(net._projected(net.word_vectors(words)[0]), tokens, start, size)
+            noise = net.score_blocks(words, tokens, offsets, text, start, size)
         order = np.lexsort((-noise, text))
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text)) - first[text[order]]
@@ -352,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(
-    docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score", chunk_bytes: int = 8 << 20
+    docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "score", chunk_bytes: int = 3 << 20
 ) -> DataFrame:
     """(doc_id, score): the score of every whole text; with keep, those columns and the score."""
     if keep is None:
@@ -361,6 +373,7 @@ def score(
     keep = [c for c in keep if c != score_col]
     if net is None:
         return docs.select(*keep, F.lit(0.0).alias(score_col))
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
     at = rows.columns.index(text_col if text_col in keep else "__text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), f"`{score_col}` double"])
