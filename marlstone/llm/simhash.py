@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import bounded_batches, materialize
 
 BITS = 64
 SEED = 42
@@ -104,6 +104,7 @@ def _type(lanes: int) -> str:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, lanes: int = 1) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text, a signed 64-bit integer or the bytes of several."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,24 +321,42 @@ def bands_for(share: float, band_bits: int, missed: float = 0.002) -> int:
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, label): for each node on an edge the least (rep, fp) that it reaches.
+    """(fp, rep): for each fingerprint on an edge the least rep of those it reaches.
 
-    nodes is (fp, rep).  Each round takes the least label of the neighbours and
-    then jumps to the label of the label, so long chains close in few rounds.
+    nodes is (fp, rep).  Each round every node points to its least neighbour, or to
+    itself if it is less; pointers are followed to their roots by doubling; then the
+    edges are contracted to edges between roots.  Rounds and doublings are
+    logarithmic, and from the second round on only what is left between roots is joined.
     """
-    edges = materialize(edges.union(edges.select("dst", "src")).distinct(), "simhash-edges")
-    on_edge = edges.select(F.col("src").alias("fp")).distinct()
-    label = F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")
-    labels = materialize(nodes.join(on_edge, "fp").select("fp", label.alias("label")), "simhash-labels")
-    while True:
-        told = edges.join(labels, edges.src == labels.fp).groupBy(F.col("dst").alias("fp")).agg(F.min("label").alias("told"))
-        near = labels.join(told, "fp").select("fp", F.col("label").alias("was"), F.least("label", "told").alias("now"))
-        jump = labels.select(F.col("fp").alias("via"), F.col("label").alias("far"))
-        stepped = near.join(jump, F.col("now.fp") == F.col("via")).select("fp", F.least("now", "far").alias("label"), (F.least("now", "far") != F.col("was")).alias("moved"))
-        stepped = materialize(stepped, "simhash-labels")
-        labels = stepped.select("fp", "label")
-        if stepped.where("moved").isEmpty():
-            return labels
+
+    def oriented(e: DataFrame) -> DataFrame:
+        return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+
+    edges = materialize(oriented(edges), "simhash-edges")
+    roots = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("dst", "src"))
+        up = materialize(both.groupBy(F.col("src").alias("fp")).agg(F.min("dst").alias("to")).select("fp", F.least("fp", "to").alias("to")), "simhash-up")
+        while True:
+            far = up.select(F.col("fp").alias("via"), F.col("to").alias("far"))
+            up = materialize(up.join(far, F.col("to") == F.col("via")).select("fp", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "simhash-up")
+            if up.where("moved").isEmpty():
+                break
+            up = up.select("fp", "to")
+        up = up.select("fp", "to")
+        ends = [up.select(F.col("fp").alias(f"{e}_fp"), F.col("to").alias(f"{e}_to")) for e in ("src", "dst")]
+        moved = edges.join(ends[0], F.col("src") == F.col("src_fp")).join(ends[1], F.col("dst") == F.col("dst_fp"))
+        edges = materialize(oriented(moved.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst"))), "simhash-edges")
+        if roots is None:
+            roots = up.withColumnRenamed("to", "root")
+        else:
+            again = up.select(F.col("fp").alias("was"), F.col("to").alias("now"))
+            roots = materialize(roots.join(again, F.col("root") == F.col("was"), "left").select("fp", F.coalesce("now", "root").alias("root")), "simhash-roots")
+    if roots is None:
+        return nodes.limit(0)
+    named = roots.join(nodes, "fp")
+    least = named.groupBy("root").agg(F.min("rep").alias("rep"))
+    return named.select("fp", "root").join(least, "root").select("fp", "rep")
 
 
 def near_duplicate_groups(
@@ -356,7 +375,7 @@ def near_duplicate_groups(
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
-    labels = component_labels(nodes, stars).select("fp", F.col("label.rep").alias("linked"))
+    labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
     known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("linked", "rep").alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
