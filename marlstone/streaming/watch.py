@@ -35,7 +35,7 @@ def drop_repeats(events: DataFrame, seconds: int = EVENT_TTL_SECONDS) -> DataFra
 
 
 def quiet_batches(events: DataFrame, seconds: int = QUIET_SECONDS, *, by: str | None = None) -> DataFrame:
-    """(start, stop, events, paths) of runs of events with gaps of at most so many seconds; by splits them by a column."""
+    """(start, stop, events, paths) of runs of events with gaps of at most so many seconds; by splits them by a column, which a stream needs."""
     rows = events.withWatermark("at", f"{seconds} seconds") if events.isStreaming else events
     keys = [F.session_window("at", f"{seconds} seconds").alias("w")] + ([F.col(by)] if by else [])
     out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.approx_count_distinct("path").alias("paths") if events.isStreaming else F.count_distinct("path").alias("paths"))
