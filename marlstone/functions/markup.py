@@ -192,7 +192,7 @@ def merge_mentions(old: Column, new: Column) -> Column:
 
 def snap_header(header: Column, labels: Sequence[str], most: int = 3) -> Column:
     """The label equal to a header, else the only nearest within so many edits, else null."""
-    near = F.array(*[F.struct(F.levenshtein(F.lower(F.trim(header)), F.lit(x.lower())).alias("d"), F.lit(x).alias("label")) for x in labels])
+    near = F.array(*[F.struct(F.levenshtein(F.trim(header), F.lit(x)).alias("d"), F.lit(x).alias("label")) for x in labels])
     best = F.array_min(near)
     rivals = F.size(F.filter(near, lambda n: n["d"] == best["d"]))
     return F.when(F.trim(header).isin(*labels), F.trim(header)).when((best["d"] <= most) & (rivals == 1), best["label"])
@@ -419,3 +419,9 @@ def index_lines(lines):
     return lines.where(F.col("line").rlike(bullet)).select(
         part(1).alias("path"), F.element_at(F.split(part(1), "/"), -1).alias("title"), aliases.alias("aliases"), F.nullif(F.trim(part(3)), F.lit("")).alias("source_slug"), F.trim(part(4)).alias("summary")
     )
+
+
+@arrow_udf("string")
+def summaries(text: pd.Series, labels: pd.Series, most: pd.Series) -> pd.Series:
+    """summary_of for columns."""
+    return pd.Series([summary_of(t or "", list(x), int(m)) for t, x, m in zip(text, labels, most)])
