@@ -7,9 +7,9 @@ attention pools its states, and a logistic unit gives the window's score.  A tex
 cut into windows of `window` words, each half overlapping the next (the last one ends
 with the text); all are scored, and the text's score is the highest of them.
 
-Training is multiple-instance learning over documents: after a warm-up on random
-windows, each round trains on the highest-scoring window of every toxic document and
-the highest ones of every clean one.  It sees at most `train_docs` documents of each
+Training is multiple-instance learning over documents: in the first rounds toxic
+documents are represented by their windows with the most telling character grams, later
+by the highest-scoring ones; clean documents by their highest and by random windows.  It sees at most `train_docs` documents of each
 class, chosen by a hash of the id; the network's size is fixed, so what goes to the
 tasks does not grow with the corpus.  Texts are scored whole, in one scan.
 
@@ -289,7 +289,37 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return tokens, offsets, words
 
 
-def fit(texts: list[str], toxic: list[int], *, window: int = 16, steps: int = 900, least_rounds: int = 16, warm_up: int = 4, more_windows: int = 3, decay: float = 0.01, batch: int = 96, rate: float = 0.02, vocabulary: int = 200, seed: int = 1) -> Network:
+def word_odds(tokens: np.ndarray, offsets: np.ndarray, words: list[str], target: np.ndarray, order: int = 4, bits: int = 18) -> np.ndarray:
+    """For each word the greatest log odds, by texts of either class, of its character four-grams (hashed, word ends included).
+
+    It only chooses the windows of the first rounds; no score is made of it.
+    """
+    points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), np.uint32)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1)  # the line end after each word
+    h = np.zeros(max(0, len(points) - order + 1), np.uint32)
+    for k in range(order):
+        h = (h ^ points[k : k + len(h)]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+    bucket = (h >> np.uint32(32 - bits)).astype(np.int64)
+    # a word's grams begin at the line end before it; a short word has one that runs on, which is harmless
+    begins = ends - lens - 1
+    count = np.maximum(lens + 2 - order + 1, 1)
+    of = np.repeat(np.arange(len(words)), count)
+    at = np.minimum(np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum()), len(bucket) - 1)
+    grams, first = bucket[at], np.cumsum(count) - count
+    text = np.repeat(np.arange(len(target)), np.diff(offsets))
+    pairs = np.unique(text * len(words) + tokens)
+    text, word = pairs // len(words), pairs % len(words)
+    n = count[word]
+    flat = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    held = np.unique(np.repeat(text, n) << bits | grams[flat])
+    seen = [np.bincount((held & ((1 << bits) - 1))[target[held >> bits] == y], minlength=1 << bits) for y in (0, 1)]
+    odds = np.log((seen[1] + 0.5) / ((target == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((target == 0).sum() + 1))
+    return np.maximum.reduceat(odds[grams], first) if len(words) else np.zeros(0)
+
+
+def fit(texts: list[str], toxic: list[int], *, window: int = 16, steps: int = 2000, least_rounds: int = 10, warm_up: int = 4, more_windows: int = 6, decay: float = 0.01, batch: int = 96, rate: float = 0.02, vocabulary: int = 100, seed: int = 1) -> Network:
     """A network from labelled texts, after least_rounds rounds or as many as give the steps."""
     rng = np.random.default_rng(seed)
     tokens, offsets, words = tokens_of(pa.array(texts, pa.string()))
@@ -299,14 +329,16 @@ def fit(texts: list[str], toxic: list[int], *, window: int = 16, steps: int = 90
     net = Network.new({words[k]: 1 + i for i, k in enumerate(known)}, window, rng)
     text, start, size = net.cut(offsets)
     first = np.searchsorted(text, np.arange(len(texts) + 1))
+    odds = word_odds(tokens, offsets, words, target)
+    prior = np.array([odds[tokens[a : a + n]].max() if n else -1e9 for a, n in zip(start.tolist(), size.tolist())])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step, rounds = 0, max(least_rounds, -(-steps * batch // max(1, int(np.minimum(np.diff(first), more_windows).sum()))))
     for r in range(rounds):
-        if r < warm_up:
-            noise = rng.random(len(text))
-        else:
-            noise = net.score_blocks(words, tokens, offsets, text, start, size)
+        chance = rng.random(len(text))
+        noise = prior if r < warm_up else net.score_blocks(words, tokens, offsets, text, start, size)
+        if r % 2 == 0:  # clean texts: their worst windows in one round, any in the next
+            noise = np.where(target[text] > 0, noise, chance)
         order = np.lexsort((-noise, text))
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text)) - first[text[order]]
