@@ -219,7 +219,7 @@ COS_SQL = "n AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embedding
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 100."""
     v = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    return evaluation.nearest_by_cosine(v, F.broadcast(v.where("vec_id % 100 = 0")), 10)
+    return evaluation.nearest_by_cosine(v, v.where("vec_id % 100 = 0"), 10)
 
 
 @query("knn_cosine_topk", f"WITH {COS_SQL} SELECT query_id, vec_id, score, rank FROM k")
