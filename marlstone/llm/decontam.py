@@ -93,7 +93,8 @@ def overlaps(
 
     some = hits.select(F.col("doc_id").alias("of")).distinct()
     again = texts.join(some, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("doc_id", word_hashes(F.col("text")).alias("doc_words"))
-    tests = tests.select("item_id", F.col("words").alias("item_words"))
+    # every item that can be hit has a seed, so they are few if the seeds are
+    tests = tests.where(F.size("words") > min(max(m) for m in masks)).select("item_id", F.col("words").alias("item_words"))
     aligned = hits.join(F.broadcast(tests) if few else tests, "item_id").withColumnRenamed("doc_id", "of").join(again, F.col("doc_id").eqNullSafe(F.col("of")))
     length = F.size("item_words")
     agree = F.transform(
