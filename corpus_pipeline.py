@@ -21,8 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.5
 #: A document without a language, or in which no language has half of the letters, goes.
 LEAST_LANGUAGE_SHARE = 0.5
-#: 256 bits of five-word shingles: up to 50 differ at a similarity of 0.8 (39 expected, with a deviation of 6).
-NEAR = {"shingle_words": 5, "lanes": 4, "radius": 50}
+#: 256 bits of five-word shingles; 39 are expected to differ at a similarity of 0.8, with a deviation of 6.
+NEAR = {"shingle_words": 5, "lanes": 4, "radius": 44}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

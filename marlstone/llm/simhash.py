@@ -316,8 +316,8 @@ def link_stars(distinct: DataFrame, *, radius: int, count: int, lanes: int = 1,
 
 
 def bands_for(share: float, band_bits: int, missed: float = 0.002) -> int:
-    """The bands that find a pair whose bits differ in three quarters of the share, but for the missed part."""
-    return int(np.ceil(np.log(missed) / np.log(1 - (1 - 0.75 * share) ** band_bits)))
+    """The bands that find a pair whose bits differ in 0.85 of the share, but for the missed part."""
+    return int(np.ceil(np.log(missed) / np.log(1 - (1 - 0.85 * share) ** band_bits)))
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
