@@ -318,3 +318,62 @@ def stale_folders(history: DataFrame, current: str) -> DataFrame:
 
 def wiki_counts(pages: DataFrame) -> DataFrame:
     return pages.agg(*[F.count_if(F.contains("path", F.lit(f"/{f}/"))).alias(f) for f in FOLDERS])
+
+
+# constraints and related sections
+
+RELATED_HEADINGS = ("related", "see also", "related pages", "related entities", "related concepts")
+
+
+def constrained(fm: Column, page_type: str, allowed: list[str] | None, today: Column) -> Column:
+    """Front matter as its type asks: the type set, tags once each and, given a vocabulary, only from it, dates stamped.
+
+    A reviewed page only has its dates stamped.  A created date that is no date becomes today.
+    """
+    created = F.when(fm["created"].rlike(r"^\d{4}-\d{2}-\d{2}$"), fm["created"]).otherwise(today)
+    dated = fm.withField("created", created).withField("updated", today)
+    tags = markup.folded_union(fm["tags"], F.array().cast("array<string>"))
+    if allowed is not None:
+        tags = F.filter(tags, lambda t: t.isin(*allowed))
+    aliases = F.filter(F.array_distinct(F.coalesce(fm["aliases"], F.array().cast("array<string>"))), lambda a: F.char_length(F.trim(a)) >= 2)
+    full = dated.withField("type", F.lit(page_type)).withField("tags", tags).withField("aliases", aliases)
+    return F.when(F.coalesce(fm["reviewed"], F.lit(False)), dated).otherwise(full)
+
+
+def without_related(text: str, targets: set[str], wiki_folder: str = "wiki", headings: tuple[str, ...] = RELATED_HEADINGS) -> tuple[str, int]:
+    """A text without the lines of its related sections that link to a target, and how many there were."""
+    out, removed = [], 0
+    for header, block in sections(text):
+        if header.lower() not in headings:
+            out.append(block)
+            continue
+        kept = []
+        for line in block.split("\n"):
+            if any(m[1].strip().removeprefix(wiki_folder + "/") in targets for m in LINK.finditer(line)):
+                removed += 1
+            else:
+                kept.append(line)
+        out.append("\n".join(kept))
+    return "".join(out), removed
+
+
+def display_restores(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(source, target, display) of links that may be written as their display text alone: it is the last name or the title of the only page of that name.
+
+    links is (source, target, display), pages (path, title).
+    """
+    by_name = pages.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path").union(pages.select("title", "path")).distinct()
+    only = by_name.groupBy("name").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n")).where("n = 1").select("name", "path")
+    return links.where("display IS NOT NULL").join(only, (F.col("display") == F.col("name")) & (F.col("target") == F.col("path"))).select("source", "target", "display")
+
+
+def related_section(text: str, label: str, entries: list[str], most: int) -> str:
+    """A text whose section of a label lists its own links and then new ones, each name once, at most so many; the section is added if it is missing."""
+    own = next((b for h, b in sections(text) if h == label), "")
+    names: dict[str, str] = {}
+    for raw in [m[0] for m in LINK.finditer(own)] + [f"[[{e}]]" for e in entries]:
+        names.setdefault(LINK.match(raw)[1].strip().split("/")[-1].lower(), raw)
+    block = f"## {label}\n" + "".join(f"- {x}\n" for x in list(names.values())[:most])
+    if not own:
+        return text.rstrip("\n") + "\n\n" + block if names else text
+    return "".join(block + ("\n" if own.endswith("\n\n") else "") if h == label else b for h, b in sections(text))

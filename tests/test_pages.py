@@ -88,3 +88,21 @@ def test_matched_paragraphs(spark):
     bodies = spark.createDataFrame([("q", "p", body)], ["query_id", "path", "text"])
     terms = spark.createDataFrame([("q", ["Beta"])], ["query_id", "terms"])
     assert cascade.matched_paragraphs(bodies, terms, 40, ("summary",)).first().text == "beta one\n\nbeta two is long enough to be "[:10] + "beta two is long enough to be "
+
+
+def test_related_lines():
+    text = "# T\n## Related\n- [[wiki/a|A]]\n- [[b]]\n## Else\n- [[a]]\n"
+    assert pages.without_related(text, {"a"}) == ("# T\n## Related\n- [[b]]\n## Else\n- [[a]]\n", 1)
+    assert pages.related_section("# T\n\n## R\n- [[x/A]]\n\n## Z\nq\n", "R", ["a", "B"], 5) == "# T\n\n## R\n- [[x/A]]\n- [[B]]\n\n## Z\nq\n"
+    assert pages.related_section("# T\n", "R", ["B", "C"], 1) == "# T\n\n## R\n- [[B]]\n"
+
+
+def test_constraints_and_restores(spark):
+    front = "---\ntype: x\ncreated: soon\ntags: [A, a, B]\naliases: [ok, z]\n---\n"
+    df = spark.createDataFrame([(front,), (front.replace("type: x", "type: x\nreviewed: true"),)], ["c"]).select(markup.front_matter("c").alias("fm"))
+    plain, reviewed = (r.f for r in df.select(pages.constrained(F.col("fm"), "entity", ["A"], F.lit("2024-01-01")).alias("f")).collect())
+    assert (plain.type, plain.tags, plain.aliases, plain.created, plain.updated) == ("entity", ["A"], ["ok"], "2024-01-01", "2024-01-01")
+    assert (reviewed.type, reviewed.tags, reviewed.updated) == ("x", ["A", "a", "B"], "2024-01-01")
+    links = spark.createDataFrame([("s", "e/Foo", "Foo"), ("s", "e/Foo", "other"), ("s", "c/Bar", "Bar")], ["source", "target", "display"])
+    known = spark.createDataFrame([("e/Foo", "Foo"), ("c/Bar", "Bar"), ("e/Bar", "Bar")], ["path", "title"])
+    assert [r.display for r in pages.display_restores(links, known).collect()] == ["Foo"]
