@@ -289,11 +289,13 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return tokens, offsets, words
 
 
-def word_odds(tokens: np.ndarray, offsets: np.ndarray, words: list[str], target: np.ndarray, order: int = 4, bits: int = 18) -> np.ndarray:
+def word_odds(tokens: np.ndarray, offsets: np.ndarray, words: list[str], target: np.ndarray, order: int = 4, bits: int = 18, block: int = 200) -> np.ndarray:
     """For each word the greatest log odds, by texts of either class, of its character four-grams (hashed, word ends included).
 
     It only chooses the windows of the first rounds; no score is made of it.
     """
+    if not words:
+        return np.zeros(0)
     points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), np.uint32)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1)  # the line end after each word
@@ -308,15 +310,20 @@ def word_odds(tokens: np.ndarray, offsets: np.ndarray, words: list[str], target:
     of = np.repeat(np.arange(len(words)), count)
     at = np.minimum(np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum()), len(bucket) - 1)
     grams, first = bucket[at], np.cumsum(count) - count
-    text = np.repeat(np.arange(len(target)), np.diff(offsets))
-    pairs = np.unique(text * len(words) + tokens)
-    text, word = pairs // len(words), pairs % len(words)
-    n = count[word]
-    flat = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    held = np.unique(np.repeat(text, n) << bits | grams[flat])
-    seen = [np.bincount((held & ((1 << bits) - 1))[target[held >> bits] == y], minlength=1 << bits) for y in (0, 1)]
+    seen = [np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)]
+    for k in range(0, len(target), block):  # texts that hold a gram, a few texts at a time
+        ends = offsets[k : k + block + 1]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        pairs = np.unique(text * len(words) + tokens[ends[0] : ends[-1]])
+        text, word = pairs // len(words), pairs % len(words)
+        n = count[word]
+        flat = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        held = np.unique(np.repeat(text, n) << bits | grams[flat])
+        toxic = target[k : k + block][held >> bits] == 1
+        for y in (0, 1):
+            seen[y] += np.bincount((held & ((1 << bits) - 1))[toxic == bool(y)], minlength=1 << bits)
     odds = np.log((seen[1] + 0.5) / ((target == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((target == 0).sum() + 1))
-    return np.maximum.reduceat(odds[grams], first) if len(words) else np.zeros(0)
+    return np.maximum.reduceat(odds[grams], first)
 
 
 def fit(texts: list[str], toxic: list[int], *, window: int = 16, steps: int = 2000, least_rounds: int = 10, warm_up: int = 4, more_windows: int = 6, decay: float = 0.01, batch: int = 96, rate: float = 0.02, vocabulary: int = 100, seed: int = 1) -> Network:
