@@ -42,11 +42,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, materialize
+from marlstone.llm.common import bounded_batches, give_back, materialize
 
 CHUNK_BYTES = 8 << 20
 LEAST_PARTS, MOST_PARTS = 128, 4096
 CACHED_WORDS = 1_000_000
+DOCS_AT_ONCE = 200
 #: White space of the Unicode property that tokenizers use; str.split() also splits at these four, which are no white space there.
 NOT_SPACE = "[\x1c-\x1f]"
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -99,6 +100,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
             words = split_words(batch.column(1).slice(start, stop - start))
             coded = words.flatten().dictionary_encode()
             yield f"{partition}-{count}", batch.column(0).slice(start, stop - start), np.diff(words.offsets.to_numpy()), coded.indices.to_numpy(), coded.dictionary
+            del words, coded
+            give_back()
             count, start = count + 1, stop
 
 
@@ -180,6 +183,8 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                     flat = np.frombuffer(b"".join(ids), np.int32)
                     out.append((r["chunk"], r["part"], r["checksum"], len(ids), [len(flat)], _pack(lens, flat)))
                 yield _rows(out)
+        known.clear()
+        give_back()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, doc_ids, counts, at, dictionary in _chunks(batches, chunk_bytes):
@@ -189,7 +194,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
             yield _rows([(name, -1, checksum, len(counts), doc_ids.to_pylist(), _pack(counts, rank[at]) + len(at).to_bytes(4, "little"))])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(chunk: dict, parts: list[dict]) -> pa.RecordBatch:
+        def done(chunk: dict, parts: list[dict]) -> Iterator[pa.RecordBatch]:
             if any(p["checksum"] != chunk["checksum"] for p in parts):
                 raise RuntimeError("the two passes over the documents differ; write them to a table first")
             lens, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
@@ -201,10 +206,16 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
             words = int.from_bytes(chunk["blob"][-4:], "little")
             both = _unpack(chunk["blob"][:-4], chunk["n"] + words)
             counts, at = both[: chunk["n"]], both[chunk["n"] :]
-            ids = gather(flat, np.cumsum(lens) - lens, lens, at)
-            of_word = np.concatenate(([0], np.cumsum(lens[at])))
-            offsets = of_word[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(chunk["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+            first = np.cumsum(lens) - lens
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            for k in range(0, len(counts), DOCS_AT_ONCE):
+                bounds = ends[k : k + DOCS_AT_ONCE + 1]
+                some = at[bounds[0] : bounds[-1]]
+                ids = gather(flat, first, lens, some)
+                offsets = np.concatenate(([0], np.cumsum(lens[some])))[bounds - bounds[0]].astype(np.int32)
+                doc_ids = pa.array(chunk["doc_ids"][k : k + DOCS_AT_ONCE], pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+            give_back()
 
         chunk, parts = None, []
         for batch in batches:
@@ -212,12 +223,12 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                 (r,) = batch.slice(k, 1).to_pylist()
                 if r["part"] < 0:
                     if chunk:
-                        yield done(chunk, parts)
+                        yield from done(chunk, parts)
                     chunk, parts = r, []
                 else:
                     parts.append(r)
         if chunk:
-            yield done(chunk, parts)
+            yield from done(chunk, parts)
 
     asked = texts.mapInArrow(ask, ROW).repartition("part")
     answered = asked.mapInArrow(answer, ROW)

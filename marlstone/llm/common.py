@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,8 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     now = spark.conf.get(key, f"{1 << 30}b")
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > size:
         spark.conf.set(key, f"{size}b")
+
+
+def give_back() -> None:
+    """Return a Python worker's unused Arrow memory: idle workers of earlier stages stay beside those of later ones."""
+    pa.default_memory_pool().release_unused()

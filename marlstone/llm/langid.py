@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches
+from marlstone.llm.common import bounded_batches, give_back
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -266,6 +266,7 @@ def identify(
                 found = [pa.array(names, pa.string()), pa.array(score), spans]
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), *found], [*keep, *new])
                 start = stop
+            give_back()
 
     return rows.mapInArrow(run, schema)
 

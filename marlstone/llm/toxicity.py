@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches
+from marlstone.llm.common import bounded_batches, give_back
 
 CHAR_ROWS = 512
 F32 = np.float32
@@ -428,5 +428,6 @@ def score(
                 scores = pa.array(net.score_texts(some.column(at)).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), scores], [*keep, score_col])
                 start = stop
+            give_back()
 
     return rows.mapInArrow(run, schema)
