@@ -21,8 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.5
 #: A document without a language, or in which no language has half of the letters, goes.
 LEAST_LANGUAGE_SHARE = 0.5
-#: 256 bits of five-word shingles; 39 are expected to differ at a similarity of 0.8, with a deviation of 6.
-NEAR = {"shingle_words": 5, "lanes": 4, "radius": 44}
+#: Near duplicates have this Jaccard similarity of their five-word shingles. Candidates are found by 256 bits, of which
+#: 39 are expected to differ at 0.8, with a deviation of 6.
+NEAR = {"shingle_words": 5, "lanes": 4, "radius": 60, "similarity": 0.8}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,13 @@ wide a radius no choice of blocks is selective; buckets are then keyed by `bands
 fixed samples of `band_bits` bits each, which find a pair with bit difference share p
 with probability 1 - (1 - (1 - p)**band_bits)**bands.
 
+Verified groups.  `similar_groups` takes such wide fingerprints, of distinct shingles, as
+candidates only: a link stays where the exact Jaccard similarity of the two shingle sets
+reaches `similarity`, and the groups are the components of those links.  Texts with equal
+shingle sets are one node.  The sets of the nodes of a candidate component meet in one task;
+a component of more than `shard_bytes` is cut into shards that meet in pairs, so the reads of a
+component grow with its square over the shard.
+
 A subtree whose members all lie in the query's component is not entered, and a
 bucket returns a star of its components, not all pairs; a group of n near copies
 thus costs about n links instead of n squared.
@@ -73,7 +80,11 @@ def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
 
 def fingerprint_of(text: str | None, shingle_words: int, lanes: int = 1) -> np.ndarray:
     """The fingerprint of one text: an unsigned 64-bit number for each lane."""
-    hashes = shingle_hashes(text, shingle_words)
+    return majority(shingle_hashes(text, shingle_words), lanes)
+
+
+def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """The bitwise majority of hashes, a number for each lane."""
     out = np.zeros(lanes, np.uint64)
     for lane in range(lanes if len(hashes) else 0):
         ones = np.zeros(BITS, np.int64)
@@ -380,9 +391,141 @@ def near_duplicate_groups(
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle_words))
+
+
+def set_prints(docs: DataFrame, *, id_col: str, text_col: str, shingle_words: int, lanes: int) -> DataFrame:
+    """(doc_id, fp, key, n): the fingerprint of each text's distinct shingles, a 128-bit digest of them and their number."""
+    from xxhash import xxh3_128_digest
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, sizes = np.zeros((batch.num_rows, lanes), np.uint64), [], []
+            for k, t in enumerate(batch.column(1)):
+                own = shingle_set(t.as_py(), shingle_words)
+                fps[k] = majority(own, lanes)
+                keys.append(xxh3_128_digest(own.tobytes(), SEED))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _column(fps), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "key", "n"])
+
+    return rows.mapInArrow(run, f"doc_id long, fp {_type(lanes)}, key binary, n long")
+
+
+def components_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the position of its component's first member, links being Jaccard similarity >= similarity."""
+    labels = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    _, term = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    held = of[np.argsort(term, kind="stable")]  # the sets of each term, in order
+    ends = np.cumsum(np.bincount(term))
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
+    filled = starts.copy()  # up to here a term's sets have been seen
+    first = 0
+    for k, size in enumerate(sizes.tolist()):
+        own = term[first : first + size]
+        first += size
+        if size:
+            met = np.concatenate([held[a:b] for a, b in zip(starts[own].tolist(), filled[own].tolist())])
+            both = np.bincount(met, minlength=k) if k else np.zeros(0, np.int64)
+            found = np.flatnonzero((both > 0) & (both >= similarity * (sizes[:k] + size - both) - 1e-9))
+            filled[own] += 1
+            if len(found):
+                linked = np.unique(labels[found])
+                labels[k] = linked[0]
+                if len(linked) > 1:
+                    labels[:k][np.isin(labels[:k], linked)] = linked[0]
+    return labels
+
+
+def verified_stars(members: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle_words: int, similarity: float, shard_bytes: int, broadcast_rows: int) -> DataFrame:
+    """(src, dst): links that join the same of members as all pairs of a component with the similarity do.
+
+    members is (rep, component, n): the id of a row of docs, its candidate component and its number of distinct shingles.
+    """
+    weight = 8 * F.col("n") + 1024
+    shards = members.groupBy("component").agg(F.ceil(F.sum(weight) / shard_bytes).cast("int").alias("shards"))
+    sized = members.join(shards, "component").select("rep", "component", "shards")
+    few = members.count() <= broadcast_rows
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(sized) if few else sized, "rep").select("rep", "component", "shards", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = pa.array([shingle_set(t.as_py(), shingle_words).tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), blobs], ["rep", "component", "shards", "shingles"])
+
+    sets = chosen.mapInArrow(read, "rep long, component long, shards int, shingles binary")
+    mine = F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")
+    units = sets.select("rep", "component", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")).select(
+        "rep", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "shingles"
+    )
+    dealt = units.repartition(F.col("unit")).sortWithinPartitions("unit", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, reps, sets = None, [], []
+
+        def stars() -> pa.RecordBatch:
+            labels = components_similar(sets, similarity)
+            ids = np.array(reps, np.int64)
+            members = np.flatnonzero(labels != np.arange(len(labels)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[labels[members]]), pa.array(ids[members])], ["src", "dst"])
+
+        for batch in batches:
+            for rep, now, blob in zip(*(batch.column(k) for k in range(3))):
+                if (now := now.as_py()) != unit:
+                    if len(reps) > 1:
+                        yield stars()
+                    unit, reps, sets = now, [], []
+                reps.append(rep.as_py())
+                sets.append(np.frombuffer(blob.as_py(), "<u8"))
+        if len(reps) > 1:
+            yield stars()
+
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
+
+
+def similar_groups(
+    docs: DataFrame,
+    *,
+    similarity: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    radius: int = 60,
+    lanes: int = 4,
+    bands: int | None = None,
+    band_bits: int = 12,
+    shard_rows: int = 4096,
+    shard_bytes: int = 4 << 20,
+    broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """(doc_id, key, component_id): each row's shingle set and the least doc_id it reaches over links of the similarity; ids are without repeats and nulls."""
+    prints = materialize(set_prints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "simhash-prints")
+    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "simhash-sets")
+    nodes = materialize(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-nodes")
+    stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
+    labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
+    known = nodes.withColumnRenamed("rep", "own").join(labels, "fp", "left").select("fp", F.coalesce("linked", "own").alias("component"))
+    placed = materialize(sets.join(known, "fp").select("rep", "component", "n"), "simhash-placed")
+    several = placed.groupBy("component").count().where("count > 1").select("component")
+    members = materialize(placed.join(several, "component", "left_semi"), "simhash-members")
+    links = verified_stars(members, docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, shard_bytes=shard_bytes, broadcast_rows=broadcast_rows)
+    joined = component_labels(members.select(F.col("rep").alias("fp"), "rep"), links).select(F.col("fp").alias("of"), F.col("rep").alias("linked"))
+    final = sets.join(joined, F.col("rep") == F.col("of"), "left").select("key", F.coalesce("linked", "rep").alias("component_id"))
+    return prints.join(final, "key").select("doc_id", "key", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
     """docs with one row of each near-duplicate group, that with the least doc_id, null last.
 
+    With a similarity the groups are those of similar_groups, without one those of near_duplicate_groups.
     Of rows that repeat both id and text one stays; rows that repeat an id with other texts are documents of their own.
     """
     columns = docs.columns
@@ -392,7 +535,10 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         named = named.dropDuplicates(["__id", text_col])
         place = F.row_number().over(Window.partitionBy("__id").orderBy(text_col))
         named = materialize(named.withColumn("__id", F.when(place > 1, far("__id", text_col)).otherwise(F.col("__id"))), "simhash-named")
-    groups = near_duplicate_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, **how)
+    if similarity is not None:
+        groups = similar_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, similarity=similarity, **how)
+    else:
+        groups = near_duplicate_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, **how)
     keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
     return named.join(keepers, "__id", "left_semi").select(*columns)
 

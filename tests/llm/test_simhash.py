@@ -131,6 +131,60 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert all(3 * i in kept and 3 * i + 2 in kept for i in range(150))
 
 
+def similar_components(rows, least=0.8):
+    """The least id of each text's component, trying every pair."""
+    grams = {d: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} for d, t in rows}
+    group = {d: d for d in grams}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    ids = sorted(grams)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(grams[a] & grams[b])
+            if both and both >= least * (len(grams[a]) + len(grams[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {d: root(d) for d in ids}
+
+
+def graded(seed, bases):
+    """Texts with copies over the similarities about 0.8, chains of copies, and texts that share one repeated passage."""
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, passage = [], say(24)
+    for i in range(bases):
+        base = say(rng.choice([60, 200, 400]))
+        texts = [base]
+        for share in (0.005, 0.02, 0.025, 0.03, 0.05):
+            last = list(texts[-1] if i % 3 == 0 else base)
+            for _ in range(max(1, round(share * len(last)))):
+                last[rng.randrange(len(last))] = rng.choice(words)
+            texts.append(last)
+        texts.append(say(44) + passage * 5)
+        rows += [(len(texts) * i + k, " ".join(t)) for k, t in enumerate(texts)]
+    return rows
+
+
+def test_similarity_decides_whatever_the_fingerprints_say(spark):
+    import corpus_pipeline
+
+    rows = graded(7, 120)
+    want = similar_components(rows)
+    pairs = [jaccard(rows[7 * i][1], rows[7 * i + k][1]) for i in range(120) for k in range(1, 6)]
+    assert sum(0.8 <= p < 0.85 for p in pairs) > 20 and sum(0.7 <= p < 0.8 for p in pairs) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"shard_bytes": 4096, "broadcast_rows": 0}):
+        got = simhash.similar_groups(df, **corpus_pipeline.NEAR, **more).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {d for d, c in want.items() if d == c}
+
+
 def test_one_of_each_with_nulls_and_repeated_ids(spark):
     rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (None, "a b c d e f", 3), (7, "x y z", 4), (7, "x y z", 4), (7, "other words here", 5), (None, "lone", 6), (None, "lone", 7), (9, None, 8), (8, "", 9), (None, None, 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp long")
