@@ -5,8 +5,11 @@ role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts, styles, hidden parts) are left out.  Every block of text passes
 points for itself, its length and its commas to its ancestors, fully to the
 nearest container, half to the next, less to those above; points are discounted by the share
-of linked text.  The container with most points, and those of its siblings that
-score alike or are its headings, are kept; the text is that of all their blocks.
+of linked text.  The container with most points leads to what is kept.  Inside an article
+element the whole outermost article is kept.  Inside a main element, or an element marked as body by
+its class, id or role, all under that element is kept but for containers on the way up whose text is to a
+quarter links.  Of the siblings of what is kept its headings and paragraphs stay, and containers that score
+like a paragraph, or, beside an article or main, like a fifth of it.  The text is that of all kept blocks.
 
 Inside a block white space becomes one space; blocks are joined in page order by one
 space.  A line break counts as white space.  Nothing inside a kept container is
@@ -66,12 +69,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "score", "length", "linked", "order", "kept")
+    __slots__ = ("tag", "parent", "out", "score", "length", "linked", "order", "kept", "marked")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, score: float, order: int):
         self.tag, self.parent, self.out, self.score, self.order = tag, parent, out, score, order
         self.length = self.linked = 0
         self.kept = False
+        self.marked = tag == "main" or score - PRIOR.get(tag, 0.0) >= 10.0  # as body, by element, class, id or role
 
 
 def _judge(tag: str, attributes: str) -> tuple[bool, float, bool]:
@@ -216,6 +220,26 @@ def _pass_points(node: _Node, text: str, linked: int) -> None:
         target = target.parent
 
 
+def _home(best: _Node, nodes: list[_Node]) -> tuple[_Node, set[_Node]]:
+    """The element that is kept for the best container, and those between them, of which all but link-dense children are kept."""
+    line = [best]
+    while line[-1].parent is not None:
+        line.append(line[-1].parent)
+    articles = [n for n in line if n.tag == "article"]
+    if articles:
+        return articles[-1], set()
+    mains = [k for k, n in enumerate(line) if n.tag == "main"]
+    marked = mains[-1:] or [k for k, n in enumerate(line) if n.marked][:1]
+    if not marked or not marked[0]:
+        return best, set()
+    path = set(line[1 : marked[0] + 1])
+    best.kept = True
+    for n in nodes:
+        if n.parent in path and n not in path and n is not best and n.length and not n.out:
+            n.kept = n.tag in PARAGRAPHS or n.linked <= LINKED_SHARE * n.length / 2
+    return line[marked[0]], path
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     nodes, blocks = _read(html or "")
@@ -228,17 +252,22 @@ def main_text(html: str | None) -> str:
     best = max((n for n in nodes if n.tag not in PARAGRAPHS and n.length and not n.out), key=lambda n: (worth(n), -n.order), default=None)
     if best is None or worth(best) <= 0:
         return " ".join(t for _, t in blocks)
-    best.kept = True
+    best, path = _home(best, nodes)
+    best.kept = not path
+    least = max(3.0, SIBLING_SHARE * worth(best)) if best.tag in ("article", "main") else 3.0
     for n in nodes:
         if n.parent is best.parent and n is not best and n.length and not n.out:
             few_links = n.linked <= LINKED_SHARE * n.length / 2
             if n.tag in HEADINGS or n.tag == "p":
                 n.kept = few_links
             else:
-                n.kept = worth(n) >= max(3.0, SIBLING_SHARE * worth(best)) and few_links
+                n.kept = worth(n) >= least and few_links
     kept = []
     for node, text in blocks:
         above: _Node | None = node
+        if node in path:
+            kept.append(text)
+            continue
         while above is not None and not above.kept:
             above = above.parent
         if above is not None:

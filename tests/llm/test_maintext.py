@@ -36,6 +36,23 @@ def test_pages(name):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div class=content"])
+@pytest.mark.parametrize("many,few", [(20, 2), (5, 1), (60, 1), (1, 1)])
+def test_short_sections_beside_long_ones(outer, many, few):
+    section = lambda name, n: f"<section><h2>{name}</h2>{f'<p>{LONG} {LONG} {LONG}</p>' * n}<p>{name} end.</p></section>"
+    close = outer.split()[0]
+    head = "<header><h1>Title</h1></header>" if outer != "div class=content" else "<h1>Title</h1>"
+    html = f"<body><nav><a href=/>Home</a></nav><{outer}>{head}<div>{section('Long', many)}{section('Short', few)}</div><div><p>Last.</p></div></{close}><footer>x</footer></body>"
+    text = main_text(html)
+    assert text.count(LONG) == 3 * (many + few)
+    assert text.startswith("Title Long") and text.endswith("Short end. Last.")
+
+
+def test_short_container_beside_a_long_one_without_marks():
+    html = f"<body><div><div>{f'<p>{LONG} {LONG}</p>' * 30}</div><div><p>{LONG} {LONG}</p></div><div><a href=/a>{LONG}</a></div></div></body>"
+    assert main_text(html).count(LONG) == 62
+
+
 def test_very_long_and_deep_pages():
     many = "".join(f"<p>Paragraph {i}, of many.</p>" for i in range(20000))
     assert main_text(f"<article>{many}</article>").count("Paragraph") == 20000
