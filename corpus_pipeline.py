@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages from documents to token ids.
+"""The corpus pipeline: five stages from documents to token ids and the text decoded from them.
 
 Each stage takes the documents that its predecessor kept, written as Parquet and
 read again, and all but the last return the columns of `documents`.
@@ -50,9 +50,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the token ids of each remaining document."""
-    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded): the token ids of each remaining document, and the text decoded from them."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -72,6 +72,16 @@ def test_stages_and_result(spark, case):
     assert again == result
 
 
+def test_last_stage_decodes(spark, case):
+    path, rows, *_ = case
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    name, last = corpus_pipeline.STAGES[-1]
+    got = {r.doc_id: r.decoded for r in last(spark, docs, path).collect()}
+    tokens = lambda text: t.encode(text or "", add_special_tokens=False).tokens
+    assert got == {d: " ".join(tokens(r[1])) for d, r in rows.items()}
+
+
 def test_near_duplicate_stage_against_brute_force(spark, case):
     path, rows, _, _ = case
     docs = spark.read.parquet(f"{path}/documents.parquet")
