@@ -9,7 +9,7 @@ labels its spans; the language with most letters on the path is the text's, and
 score is its share of the letters.
 
 The n-gram table is fitted on a sample of at most `train_docs` labelled rows of each
-language (chosen by a hash of the id) and has 2**`bits` rows and a column for each
+language (chosen by a hash of id and text, repeated rows once) and has 2**`bits` rows and a column for each
 language, so what goes to the tasks does not grow with the corpus.  Every text is
 scored whole, in one scan without a shuffle.
 
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bounded_batches, give_back
@@ -187,19 +187,18 @@ def fit(rows: list[tuple[str, str]], *, bits: int = 16, penalty: float = 8.0, sm
 
 
 def sample_labelled(docs: DataFrame, keep: Column, *, id_col: str, text_col: str, lang_col: str, train_docs: int) -> list[tuple[str, str]]:
-    """(text, language) of at most train_docs rows of each language, those with the least hashes of their ids."""
+    """(text, language) of at most train_docs rows of each language, those with the least hashes of id and text; repeated rows count once."""
     named = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    counts = named.groupBy(lang_col).count().collect()  # one row for each language
+    named = named.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("hash"))
+    drawn = F.pmod("hash", F.lit(1 << 30))
+    counts = named.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("rows")).collect()  # one row for each language
     share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[0], min(1 << 30, int((1 << 30) * train_docs / r["count"]))).otherwise(share)
-    rows = named.where(drawn < share).select(text_col, lang_col).collect()
-    out: dict[str, list[str]] = {}
-    for text, lang in sorted(map(tuple, rows)):
-        if len(mine := out.setdefault(lang, [])) < 2 * train_docs:  # the share is of expected rows
-            mine.append(text)
-    return [(t, lang) for lang, texts in out.items() for t in texts]
+    for r in counts:  # a little more than is needed, for the draw and the count are inexact
+        share = F.when(F.col("lang") == r.lang, min(1 << 30, int((1 << 30) * 1.25 * train_docs / max(r.rows, 1)))).otherwise(share)
+    some = named.where(drawn < share).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "hash"))
+    rows = some.withColumn("place", place).where(F.col("place") <= train_docs).select("text", "lang").collect()
+    return [(text, lang) for lang, text in sorted((lang, text) for text, lang in rows)]
 
 
 def identify(

@@ -34,6 +34,17 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert out[None].lang_pred == "aa" and out[1004].lang_pred == "bb" and out[1004].score == 1.0
 
 
+def test_sample_is_bounded_and_spread_under_null_and_repeated_ids(spark):
+    texts = sorted("aa%04d" % k for k in range(900))
+    for doc_id in (None, 7):
+        rows = [(doc_id, t, "aa") for t in texts] + [(5, "same", "bb")] * 700 + [(k, "b%d" % k, "bb") for k in range(10)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.sample_labelled(df, langid.F.lit(True), id_col="doc_id", text_col="text", lang_col="lang", train_docs=50)
+        of = {x: [t for t, lang in got if lang == x] for x in ("aa", "bb")}
+        assert len(of["aa"]) == 50 and sorted(of["bb"]) == sorted(["same", *("b%d" % k for k in range(10))])
+        assert of["aa"][-1] > texts[600] and of["aa"][0] < texts[300]
+
+
 def test_spans_of_mixed_texts(spark):
     rng = random.Random(5)
     text = say(rng, "aa", 40) + ". " + say(rng, "bb", 60) + "; " + say(rng, "ru", 10)
