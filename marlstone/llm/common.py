@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +35,59 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_FALLBACK[app]}"
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), named
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table is deleted when the driver ends, or by discard.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, named = _path(spark, path)
+    files.deleteOnExit(named)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize that no later plan reads."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "written_to", None)):
+            files, named = _path(t.sparkSession, path)
+            files.delete(named, True)
+
+
+def fresh(taken: Sequence[str], *stems: str) -> list[str]:
+    """A column name for each stem that is none of the taken ones, in any case of letters."""
+    used = {t.lower() for t in taken}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int, *, how: str = "inner", most: int = 4096) -> DataFrame:
+    """rows joined with classes on key, of which a few may hold a large share of the rows.
+
+    classes has one row for each key, its column n the number of its rows; those of more than a 1/most part of the total
+    rows, which are fewer than most, are broadcast, and only the rest meet by shuffle.
+    """
+    large = F.col(n) * most > total
+    hot = classes.where(large).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(~large).drop(n), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def text_or_empty(name: str) -> Column:

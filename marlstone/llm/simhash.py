@@ -7,7 +7,8 @@ the groups are the connected components of those links.
 Search.  Equal fingerprints are merged first.  The 64 bits are cut into
 `blocks` blocks; two fingerprints within the radius agree on at least
 `blocks - radius` of them, so every link falls into a bucket keyed by the values
-of that many blocks (all choices of blocks are taken: nothing is lost).  In
+of that many blocks (all choices of blocks are taken: nothing is lost).  A key
+takes only so many bits of them that an evenly spread bucket holds about 512 fingerprints.  In
 each bucket a BK-tree is grown, its children keyed by the integer Hamming
 distance to the parent, and only edges within the radius are followed.  A bucket
 above `shard_rows` is cut into shards, and each shard's tree is sent to every
@@ -29,9 +30,11 @@ shingle sets are one node.  The sets of the nodes of a candidate component meet
 a component of more than `shard_bytes` is cut into shards that meet in pairs, so the reads of a
 component grow with its square over the shard.
 
-A subtree whose members all lie in the query's component is not entered, and a
+A subtree whose members all lie in the query's component is not entered, a tree is
+asked with 1, 2, 4, ... fingerprints at once so that the first of a group merge it, and a
 bucket returns a star of its components, not all pairs; a group of n near copies
-thus costs about n links instead of n squared.
+thus costs about n links instead of n squared.  Classes that hold a large share of all
+rows get their answer by a broadcast of at most 4,096 of them.
 
 Defined results.  Null, empty and blank texts have fingerprint zero and are
 linked as any other.  Rows that repeat a doc_id stay as they are.  A null doc_id
@@ -41,17 +44,21 @@ is never a component_id unless all ids of a component are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, materialize
+from marlstone.llm.common import bounded_batches, discard, fresh, join_classes, materialize
 
 BITS = 64
 SEED = 42
+#: The links that a search of one bucket holds at once, at most.
+HELD_LINKS = 1 << 21
+#: Fingerprints of a bucket, where they are evenly spread.
+BUCKET_ROWS = 512
 
 
 def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
@@ -134,7 +141,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class BKTree:
     """A BK-tree over fingerprints, kept in preorder so that a subtree is a range of positions."""
 
-    LEAF = 64
+    LEAF = 32
 
     def __init__(self, fps: np.ndarray):
         self.nodes: list[tuple[int, int, list[tuple[int, int]]]] = []  # start, stop, [(distance, child)]
@@ -142,6 +149,7 @@ class BKTree:
         self._grow(fps, np.arange(len(fps)), order)
         self.order = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.fps = fps[self.order]
+        self.starts, self.stops = (np.array([n[k] for n in self.nodes], np.int64) for k in (0, 1))
 
     def _grow(self, fps: np.ndarray, members: np.ndarray, order: list[np.ndarray], start: int = 0) -> None:
         pending = [(members, start, None)]
@@ -168,8 +176,10 @@ class BKTree:
                 at += len(part)
             pending += groups[::-1]  # preorder
 
-    def links(self, queries: np.ndarray, radius: int, label_of_query: np.ndarray, label_of_node: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(query position, member position) pairs within the radius; subtrees in the query's own component are left out."""
+    def links(self, queries: np.ndarray, radius: int, label_of_query: np.ndarray, label_of_member: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(query position, member position) pairs within the radius that lie in different components; subtrees in the query's own are not entered."""
+        changes = np.concatenate(([0], np.cumsum(label_of_member[1:] != label_of_member[:-1])))
+        label_of_node = np.where(changes[self.starts] == changes[self.stops - 1], label_of_member[self.starts], -1).tolist()
         found = []
         stack = [(0, np.arange(len(queries)))] if len(self.fps) else []
         while stack:
@@ -181,11 +191,11 @@ class BKTree:
                 continue
             if not children:
                 near = _distance(queries[q][:, None], self.fps[None, start:stop]) <= radius
-                a, b = np.nonzero(near)
+                a, b = np.nonzero(near & (label_of_query[q][:, None] != label_of_member[None, start:stop]))
                 found.append((q[a], b + start))
                 continue
             distance = _distance(queries[q], self.fps[start])
-            hit = q[distance <= radius]
+            hit = q[(distance <= radius) & (label_of_query[q] != label_of_member[start])]
             found.append((hit, np.full(len(hit), start)))
             for edge, child in children:
                 follow = q[np.abs(distance - edge) <= radius]
@@ -208,8 +218,8 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = parent[x]
         return x
 
-    for x, y in np.unique(np.stack([la[apart], lb[apart]], 1), axis=0).tolist():
-        x, y = root(x), root(y)
+    for pair in np.unique(la[apart] * len(labels) + lb[apart]).tolist():
+        x, y = map(root, divmod(pair, len(labels)))
         if x != y:
             parent[max(x, y)] = min(x, y)
     table = np.arange(len(labels))
@@ -218,39 +228,39 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[labels]
 
 
-def components_within(fps: np.ndarray, radius: int, block: int = 1024) -> np.ndarray:
-    """For each fingerprint (row x lane) the position of its component's first member, links being Hamming distance <= radius."""
+def components_within(fps: np.ndarray, radius: int, block: int | None = None) -> np.ndarray:
+    """For each fingerprint (row x lane) the position of its component's first member, links being Hamming distance <= radius.
+
+    The tree is asked with 1, 2, 4, ... and at last `block` fingerprints at once. What one group has in common is merged by the
+    first few, so later ones do not meet it again, and never more than block x len(fps) links are held.
+    """
     labels = np.arange(len(fps))
     if len(fps) < 2:
         return labels
-    if len(fps) <= BKTree.LEAF:
-        a, b = np.nonzero(_distance(fps[:, None], fps[None, :]) <= radius)
-        return _merge(labels, a, b)
     tree = BKTree(fps)
-    starts = [n[0] for n in tree.nodes]
-    stops = [n[1] for n in tree.nodes]
-    for k in range(0, len(fps), block):
-        placed = labels[tree.order]
-        changes = np.concatenate(([0], np.cumsum(placed[1:] != placed[:-1])))
-        uniform = [int(placed[s]) if changes[s] == changes[e - 1] else -1 for s, e in zip(starts, stops)]
-        queries = np.arange(k, min(k + block, len(fps)))
-        hits = tree.links(fps[queries], radius, labels[queries], uniform)
-        labels = _merge(labels, queries[np.concatenate([h[0] for h in hits])], tree.order[np.concatenate([h[1] for h in hits])]) if hits else labels
+    block = block or max(64, HELD_LINKS // len(fps))
+    k, now = 0, 1
+    while k < len(fps):
+        queries = np.arange(k, min(k + now, len(fps)))
+        hits = tree.links(fps[queries], radius, labels[queries], labels[tree.order])
+        if hits:
+            labels = _merge(labels, queries[np.concatenate([h[0] for h in hits])], tree.order[np.concatenate([h[1] for h in hits])])
+        k, now = k + now, min(2 * now, block)
     return labels
 
 
-def _block_masks(blocks: int, radius: int) -> list[int]:
-    """A mask for each choice of blocks - radius blocks."""
+def _block_masks(blocks: int, radius: int, most_bits: int = BITS) -> list[int]:
+    """A mask for each choice of blocks - radius blocks, of its first most_bits bits."""
     edges = [round(BITS * k / blocks) for k in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+    parts = [range(a, b) for a, b in zip(edges, edges[1:])]
+    return sorted({sum(1 << bit for bit in list(chain(*c))[:most_bits]) for c in combinations(parts, blocks - radius)})
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def blocks_for(distinct: int, radius: int, bucket_rows: int = 64) -> int:
+def blocks_for(distinct: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> int:
     """The fewest blocks for which evenly spread fingerprints give buckets of about bucket_rows."""
     for blocks in range(radius + 1, radius + 7):
         if distinct >> (BITS * (blocks - radius) // blocks) <= bucket_rows:
@@ -259,8 +269,12 @@ def blocks_for(distinct: int, radius: int, bucket_rows: int = 64) -> int:
 
 
 def _by_blocks(distinct: DataFrame, radius: int, count: int) -> DataFrame:
-    """(fp, bucket): all choices of blocks, so that every pair within the radius shares a bucket."""
-    masks = _block_masks(blocks_for(count, radius), radius)
+    """(fp, bucket): all choices of blocks, so that every pair within the radius shares a bucket.
+
+    A key takes no more bits than give buckets of about BUCKET_ROWS, so that at any size it is the trees that search.
+    """
+    most_bits = max(0, count // BUCKET_ROWS).bit_length()
+    masks = _block_masks(blocks_for(count, radius), radius, most_bits)
     values = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]
     return distinct.select("fp", F.explode(F.array(*values)).alias("bucket"))
 
@@ -347,22 +361,25 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         both = edges.union(edges.select("dst", "src"))
-        up = materialize(both.groupBy(F.col("src").alias("fp")).agg(F.min("dst").alias("to")).select("fp", F.least("fp", "to").alias("to")), "simhash-up")
+        last = materialize(both.groupBy(F.col("src").alias("fp")).agg(F.min("dst").alias("to")).select("fp", F.least("fp", "to").alias("to")), "simhash-up")
         while True:
-            far = up.select(F.col("fp").alias("via"), F.col("to").alias("far"))
-            up = materialize(up.join(far, F.col("to") == F.col("via")).select("fp", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "simhash-up")
+            far = last.select(F.col("fp").alias("via"), F.col("to").alias("far"))
+            up = materialize(last.join(far, F.col("to") == F.col("via")).select("fp", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "simhash-up")
+            discard(last)
+            last = up
             if up.where("moved").isEmpty():
                 break
-            up = up.select("fp", "to")
         up = up.select("fp", "to")
         ends = [up.select(F.col("fp").alias(f"{e}_fp"), F.col("to").alias(f"{e}_to")) for e in ("src", "dst")]
         moved = edges.join(ends[0], F.col("src") == F.col("src_fp")).join(ends[1], F.col("dst") == F.col("dst_fp"))
-        edges = materialize(oriented(moved.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst"))), "simhash-edges")
+        done, edges = edges, materialize(oriented(moved.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst"))), "simhash-edges")
+        discard(done)
         if roots is None:
             roots = up.withColumnRenamed("to", "root")
         else:
             again = up.select(F.col("fp").alias("was"), F.col("to").alias("now"))
             roots = materialize(roots.join(again, F.col("root") == F.col("was"), "left").select("fp", F.coalesce("now", "root").alias("root")), "simhash-roots")
+            discard(last)
     if roots is None:
         return nodes.limit(0)
     named = roots.join(nodes, "fp")
@@ -384,11 +401,11 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(doc_id, fp, component_id): each row's fingerprint and the least doc_id it reaches over links."""
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-nodes")
     stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
     labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
-    known = nodes.join(labels, "fp", "left").select("fp", F.coalesce("linked", "rep").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = materialize(nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("linked", "rep").alias("component_id")), "simhash-known")
+    return join_classes(prints, known, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -508,7 +525,7 @@ def similar_groups(
 ) -> DataFrame:
     """(doc_id, key, component_id): each row's shingle set and the least doc_id it reaches over links of the similarity; ids are without repeats and nulls."""
     prints = materialize(set_prints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, lanes=lanes), "simhash-prints")
-    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "simhash-sets")
+    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("rows")), "simhash-sets")
     nodes = materialize(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-nodes")
     stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
     labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
@@ -518,8 +535,8 @@ def similar_groups(
     members = materialize(placed.join(several, "component", "left_semi"), "simhash-members")
     links = verified_stars(members, docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, shard_bytes=shard_bytes, broadcast_rows=broadcast_rows)
     joined = component_labels(members.select(F.col("rep").alias("fp"), "rep"), links).select(F.col("fp").alias("of"), F.col("rep").alias("linked"))
-    final = sets.join(joined, F.col("rep") == F.col("of"), "left").select("key", F.coalesce("linked", "rep").alias("component_id"))
-    return prints.join(final, "key").select("doc_id", "key", "component_id")
+    final = materialize(sets.join(joined, F.col("rep") == F.col("of"), "left").select("key", "rows", F.coalesce("linked", "rep").alias("component_id")), "simhash-final")
+    return join_classes(prints, final, "key", "rows", prints.count()).select("doc_id", "key", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
@@ -529,18 +546,25 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Of rows that repeat both id and text one stays; rows that repeat an id with other texts are documents of their own.
     """
     columns = docs.columns
+    own, first, times = fresh(columns, "__id", "__first", "__times")
     far = lambda *c: F.lit(1 << 62) + F.pmod(F.xxhash64(*c), F.lit(1 << 62))
-    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), far(text_col)))
-    if not named.groupBy("__id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["__id", text_col])
-        place = F.row_number().over(Window.partitionBy("__id").orderBy(text_col))
-        named = materialize(named.withColumn("__id", F.when(place > 1, far("__id", text_col)).otherwise(F.col("__id"))), "simhash-named")
+    named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), far(text_col)))
+    repeated = named.groupBy(own).agg(F.count("*").alias(times), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias(first)).where(F.col(times) > 1)
+    repeated = materialize(repeated.select(own, first), "simhash-repeated")
+    if not repeated.isEmpty():
+        # of repeated ids the least text keeps the id; of repeated ids and texts the row whose columns have the least hash stays
+        whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+        one = named.groupBy(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(times), text_col).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*", own)
+        apart = F.col(first).isNotNull() & (F.coalesce(F.col(text_col), F.lit("")) != F.col(first))
+        named = one.join(repeated, own, "left").withColumn(own, F.when(apart, far(own, text_col)).otherwise(F.col(own))).drop(first)
+        named = materialize(named, "simhash-named")
+    texts = named.select(F.col(own).alias("id"), F.col(text_col).alias("text"))
     if similarity is not None:
-        groups = similar_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, similarity=similarity, **how)
+        groups = similar_groups(texts, id_col="id", text_col="text", similarity=similarity, **how)
     else:
-        groups = near_duplicate_groups(named.select("__id", text_col), id_col="__id", text_col=text_col, **how)
-    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return named.join(keepers, "__id", "left_semi").select(*columns)
+        groups = near_duplicate_groups(texts, id_col="id", text_col="text", **how)
+    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    return named.join(keepers, own, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:

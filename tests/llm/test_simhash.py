@@ -193,3 +193,48 @@ def test_one_of_each_with_nulls_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(3, "a b c d e f"), (7, "x y z"), (7, "other words here"), (None, "lone"), (8, "")], key=str)
     assert simhash.keep_one_of_each(df.limit(0)).collect() == []
+
+
+def test_a_unit_of_near_copies_holds_few_links():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    fps = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 8192, 0)
+    for _ in range(12):
+        fps[np.arange(8192), rng.integers(0, 4, 8192)] ^= np.uint64(1) << rng.integers(0, 64, 8192).astype(np.uint64)
+    tracemalloc.start()
+    labels = simhash.components_within(fps, 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels == 0).all() and peak < 64 << 20
+    apart = simhash.components_within(np.unique(rng.integers(0, 1 << 63, (2000, 1), dtype=np.uint64), axis=0), 4)
+    assert len(set(apart.tolist())) == 2000
+
+
+def test_evenly_spread_buckets_are_searched_by_trees():
+    for count in (1_000, 100_000, 10_000_000, 3_000_000_000):
+        bits = (count // simhash.BUCKET_ROWS).bit_length()
+        masks = simhash._block_masks(simhash.blocks_for(count, 4), 4, bits)
+        assert count >> min(m.bit_count() for m in masks) > simhash.BKTree.LEAF
+    rng = random.Random(8)
+    for bits in (0, 3, 9):
+        for _ in range(100):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), 4):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in simhash._block_masks(5, 4, bits))
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(4, "a b c d e f g", 777, 1, None), (2, "a b c d e f g", 778, 2, 7), (2, "other words are here", 779, 3, 8), (9, "z", 780, 4, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, fp long, component_id long")
+    for how in ({}, {"similarity": 0.8, "shingle_words": 5}):
+        got = simhash.keep_one_of_each(df, **how)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [(2, "a b c d e f g", 778, 2, 7), (2, "other words are here", 779, 3, 8), (9, "z", 780, 4, 9)]
+
+
+def test_a_large_group_of_copies_meets_its_class_by_broadcast(spark):
+    rows = [(k, "one text that many documents share") for k in range(400)] + [(1000 + k, f"text {k} of its own words {k * k}") for k in range(50)]
+    assert run(spark, rows) == slow_components(rows)
