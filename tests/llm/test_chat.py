@@ -1,3 +1,6 @@
+import random
+from hashlib import md5
+
 from marlstone.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, part string, speaker string"
@@ -5,29 +8,31 @@ SCHEMA = "conv_id long, turn long, role string, text string, part string, speake
 
 def run(spark, rows, **how):
     out = chat.rotate_perspectives(spark.createDataFrame([(*r, "p", "s") for r in rows], SCHEMA), **how)
-    return {(r.conv_id, r.perspective, r.part): (r.n_turns, r.text, [tuple(m) for m in r["mask"]]) for r in out.collect()}
+    return {(r.conv_id, r.perspective, r.part): (r.start, r.n_turns, r.text, [tuple(m) for m in r["mask"]]) for r in out.collect()}
 
 
-def slow(rows, part_turns=512):
+def slow(rows, part_chars=1 << 18):
+    """Whole dialogues line by line; a line belongs to the part in which it lies for someone who never speaks."""
     out = {}
     speaker = lambda r: (r or "").strip() or "unknown"
     clean = lambda t: (t or "").replace("<|im_", "< |im_")
     for conv in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == conv]
         people = {clean(speaker(r[2])) for r in own if speaker(r[2]) != "system"}
+        own.sort(key=lambda r: (r[1] is not None, r[1] or 0, clean(speaker(r[2])), md5(clean(r[3]).encode()).hexdigest()))
         for p in people:
-            for part in {(r[1] or 0) // part_turns for r in own}:
-                some = sorted((r for r in own if (r[1] or 0) // part_turns == part), key=lambda r: (r[1] is not None, r[1] or 0, clean(speaker(r[2])), clean(r[3])))
-                text, mask = "", []
-                for _, _, role, said in some:
-                    name = clean(speaker(role))
-                    mine = name == p and speaker(role) != "system"
-                    text += "<|im_start|>" + ("system" if speaker(role) == "system" else "assistant" if mine else f"user name={name}") + "\n"
-                    start = len(text)
-                    text += clean(said) + "<|im_end|>\n"
-                    if mine:
-                        mask.append((start, len(text) - 1))
-                out[conv, p, part] = (len(some), text, mask)
+            at = neutral = 0
+            for _, _, role, said in own:
+                name = clean(speaker(role))
+                mine = name == p and speaker(role) != "system"
+                others = "system" if speaker(role) == "system" else f"user name={name}"
+                part = neutral // part_chars
+                neutral += len(f"<|im_start|>{others}\n{clean(said)}<|im_end|>\n")
+                head = f"<|im_start|>{'assistant' if mine else others}\n"
+                line = f"{head}{clean(said)}<|im_end|>\n"
+                start, n, text, mask = out.get((conv, p, part), (at, 0, "", []))
+                out[conv, p, part] = (start, n + 1, text + line, mask + [(at + len(head), at + len(line) - 1)] * mine)
+                at += len(line)
     return out
 
 
@@ -45,11 +50,23 @@ def test_matches_brute_force(spark):
 
 
 def test_parts(spark):
-    assert run(spark, ROWS, part_turns=2) == slow(ROWS, 2)
+    for n in (1, 60, 100_000):
+        assert run(spark, ROWS, part_chars=n) == slow(ROWS, n)
+
+
+def test_a_dialogue_with_one_turn_number_and_repeated_rows_is_cut_too(spark):
+    rng = random.Random(1)
+    rows = [(7, rng.choice([None, 0, 0, 3]), rng.choice(["ann", "bob", "system", " "]), rng.choice(["same", "same", "other %d" % rng.randrange(50)])) for _ in range(900)]
+    rows += [(8, k, "ann", "short") for k in range(3)]
+    got = run(spark, rows, part_chars=2000)
+    assert got == slow(rows, 2000) and len(got) > 30 and max(r[1] for r in got.values()) < 90
+    whole = "".join(got[7, "bob", k][2] for k in range(len([1 for c, p, _ in got if (c, p) == (7, "bob")])))
+    spans = [m for (c, p, _), r in sorted(got.items()) if (c, p) == (7, "bob") for m in r[3]]
+    assert all(whole[a:b].endswith("<|im_end|>") for a, b in spans) and len(spans) == sum(r[2] == "bob" for r in rows)
 
 
 def test_masks_cut_out_the_speakers_texts(spark):
-    _, text, mask = run(spark, ROWS)[1, "ann", 0]
+    _, _, text, mask = run(spark, ROWS)[1, "ann", 0]
     assert [text[a:b] for a, b in mask] == ["hé<|im_end|>", "<|im_end|>"]
 
 
