@@ -13,7 +13,8 @@ language (chosen by a hash of id and text, repeated rows once) and has 2**`bits`
 language, so what goes to the tasks does not grow with the corpus.  Every text is
 scored whole, in one scan without a shuffle.
 
-Defined results.  Null texts and texts without a letter are `und` with score 0.
+Defined results.  Null texts and texts without a letter (of Unicode's class L, whatever
+its range; the ranges only narrow candidates) are `und` with score 0.
 Where no row is labelled, every text is `und`.  Ties go to the language that comes
 first in alphabetical order.  Repeated rows and null doc_ids are kept.
 """
@@ -33,6 +34,7 @@ from marlstone.llm.common import bounded_batches, give_back
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
+LETTER = r"\p{L}"
 #: Script ranges: fixed values of the Unicode block layout (first code point, script); a range ends where the next begins.
 SCRIPT_RANGES = (
     (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"), (0x00B5, "latin"), (0x00B6, "none"),
@@ -132,7 +134,8 @@ def word_scores(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]
     seen = model.scripts[script]
     narrowed = (script >= 0) & seen.any(1)
     out[narrowed] = np.where(seen[narrowed], out[narrowed], IMPOSSIBLE)
-    return out, np.where(script >= 0, lens, 0)
+    letter = pc.match_substring_regex(pa.array(words, pa.string()), LETTER).to_numpy(zero_copy_only=False)
+    return out, np.where(letter, lens, 0)
 
 
 def viterbi(scores: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
@@ -223,10 +226,12 @@ def identify(
     new = [lang_col, score_col, spans_col]
     keep = [c for c in keep if c not in new]
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
-    at = rows.columns.index(text_col if text_col in keep else "__text")
+    kinds_of = dict(docs.dtypes)
+    named = [*keep, *([] if text_col in keep else [text_col])]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(named)])  # mapInArrow takes no names with dots
+    at = named.index(text_col)
     kinds = ("string", "double", "array<struct<first_word:int,words:int,lang:string>>")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), *(f"`{n}` {k}" for n, k in zip(new, kinds))])
+    schema = ", ".join([*(f"`{c}` {kinds_of[c]}" for c in keep), *(f"`{n}` {k}" for n, k in zip(new, kinds))])
 
     def label(texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array]:
         n, langs = len(texts), len(model.languages)

@@ -10,12 +10,12 @@ with the text); all are scored, and the text's score is the highest of them.
 Training is multiple-instance learning over documents: in the first rounds toxic
 documents are represented by their windows with the most telling character grams, later
 by the highest-scoring ones; clean documents by their highest and by random windows.  It sees at most `train_docs` documents of each
-class, chosen by a hash of the id; the network's size is fixed, so what goes to the
+class, of at most `train_chars` characters each, chosen by a hash of id and text; the network's size is fixed, so what goes to the
 tasks does not grow with the corpus.  Texts are scored whole, in one scan.
 
 Defined results.  Null and empty texts, and texts without a letter, score the
-network's value for an empty window, below 0.5 by its bias.  Where a class has no
-labelled row all scores are 0.  Repeated rows and null doc_ids are kept.
+network's value for an empty window, whose bias starts well below 0.5.  Where a class has no
+labelled row all scores are 0.  A document that is labelled both ways is drawn for both classes.  Repeated rows and null doc_ids are kept.
 """
 
 from __future__ import annotations
@@ -378,20 +378,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, train_docs: int) -> list[tuple[str, int]]:
-    """(text, label) of about train_docs rows of each class at most, those with the least hashes of their ids."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, train_docs: int, train_chars: int = 1 << 18) -> list[tuple[str, int]]:
+    """(text, label) of at most train_docs rows of each class, those with the least hashes; texts of more than train_chars characters are not drawn."""
     known = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).cast("int").alias("label")).where(F.col("of").isNotNull() & F.col("label").isin(0, 1) & ~held_out("of")).distinct()
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, min(1 << 30, int((1 << 30) * train_docs / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < share)  # about two train_docs rows: their bound is the parameter
-    rows = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "of").select("text", "label").collect()
-    out: dict[int, list[str]] = {}
-    for text, label in sorted((r.text or "", r.label) for r in rows):
-        if len(mine := out.setdefault(label, [])) < 2 * train_docs:
-            mine.append(text)
-    return [(t, label) for label in (0, 1) for t in out.get(label, [])]
+    for label, n in counts.items():  # somewhat more than are taken, for not each has a text
+        share = F.when(F.col("label") == label, min(1 << 30, int((1 << 30) * 1.25 * train_docs / n))).otherwise(share)
+    drawn = known.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < share)  # about 2.5 train_docs rows: their bound is the parameter
+    texts = docs.select(F.col(id_col).cast("long").alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= train_chars)
+    rows = texts.join(F.broadcast(drawn), "of").withColumn("hash", F.xxhash64("of", "text"))
+    out = []
+    for label in (0, 1):  # each task keeps train_docs rows at most, whatever repeats an id
+        mine = rows.where(F.col("label") == label).orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").select("text").limit(train_docs).collect()
+        out += [(t, label) for t in sorted(r.text for r in mine)]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 2000, **how) -> Network | None:
@@ -411,11 +412,13 @@ def score(
         text_col = "text"
     keep = [c for c in keep if c != score_col]
     if net is None:
-        return docs.select(*keep, F.lit(0.0).alias(score_col))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col))
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).alias("__text")) if text_col not in keep else docs.select(*keep)
-    at = rows.columns.index(text_col if text_col in keep else "__text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), f"`{score_col}` double"])
+    kinds_of = dict(docs.dtypes)
+    named = [*keep, *([] if text_col in keep else [text_col])]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(named)])  # mapInArrow takes no names with dots
+    at = named.index(text_col)
+    schema = ", ".join([*(f"`{c}` {kinds_of[c]}" for c in keep), f"`{score_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

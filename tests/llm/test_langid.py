@@ -34,6 +34,12 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert out[None].lang_pred == "aa" and out[1004].lang_pred == "bb" and out[1004].score == 1.0
 
 
+def test_letters_of_any_range_are_letters(spark):
+    rows = [(k, t, None) for k, t in enumerate(["ℂ", "ⁿ", "ʰ", "٣", "№ €", "\u0301", "𝔄", "ª 5"])]
+    out = {r.doc_id: r.lang_pred for r in run(spark, rows, corpus())}
+    assert [out[k] == "und" for k in range(8)] == [False, False, False, True, True, True, False, False]
+
+
 def test_sample_is_bounded_and_spread_under_null_and_repeated_ids(spark):
     texts = sorted("aa%04d" % k for k in range(900))
     for doc_id in (None, 7):

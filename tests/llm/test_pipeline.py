@@ -104,6 +104,37 @@ def test_near_duplicate_stage_against_brute_force(spark, case):
     assert got == {d for d in rows if root(d) == d}
 
 
+def test_stages_keep_odd_rows_and_columns_of_any_name(spark, case):
+    """Nulls, ties, repeated rows and ids, a very long text, many copies, and columns named like those that the stages make."""
+    path, rows, _, kept = case
+    some = [rows[d] for d in sorted(kept)[:6]]
+    text = lambda k: some[k][1]
+    extra = [(None, text(1), "en"), (None, text(2) + " and more of it", None), (7000, say(random.Random(9), "en", 90_000), "de"), (7001, text(3), "en"), (7001, text(3), "en"), (7002, None, None), (7003, text(4) + " tail", None), (7003, text(5) + " other tail", None)]
+    extra += [(8000 + k, text(5), "en") for k in range(150)]
+    names = "leaked_id long, __id long, toxicity double, share string, spans string, lang_pred string, `a.b` int"
+    every = [(d, t, lang, None, len(t or ""), k, -k, 0.25, "s", "t", "u", k) for k, (d, t, lang) in enumerate([(r[0], r[1], r[2]) for r in some] + extra)]
+    docs = spark.createDataFrame(every, f"{SCHEMA}, {names}")
+    given = sorted(map(str, every))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = docs
+        docs = stage(spark, docs, path)
+        assert docs.columns == before.columns and docs.dtypes == before.dtypes
+        docs.write.parquet(out := f"{path}/odd{k}")
+        docs = spark.read.parquet(out)
+        left = [tuple(r) for r in docs.collect()]
+        assert set(map(str, left)) <= set(given)
+        texts = sorted({r[1] for r in left if r[1]})
+        if name == "toxicity":
+            assert len(left) >= 0.97 * len(every)
+        elif name == "language":
+            assert all(r[1] for r in left)
+        elif name == "near_duplicates":
+            assert len(texts) == len(left) and sum(r[0] is not None and r[0] >= 8000 for r in left) == 0
+            assert any(r[0] == 7000 and len(r[1]) > 500_000 for r in left)
+    coded = corpus_pipeline.encode(spark, docs, path).collect()
+    assert sorted(str(r.doc_id) for r in coded) == sorted(str(r[0]) for r in left) and all(r.n_tokens == len(r.ids) for r in coded)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_empty_tables(spark, case, tmp_path, name, stage):
     path, *_ = case
