@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages from documents to token ids and the text decoded from them.
 
 Each stage takes the documents that its predecessor kept, written as Parquet and
-read again, and all but the last return the columns of `documents`.
+read again, and all but the last return the columns of `documents`, whatever their names.
+
+Defined results.  Null and empty texts have no language and go in the language stage.
+Rows with a null doc_id are documents like others; of rows that repeat both id and text
+one stays in the near-duplicate stage, rows that repeat an id with other texts are documents of their own.
+Of near duplicates that with the least doc_id stays, one without an id last.  Every text is read whole,
+however long.  Empty tables give empty stages; without labels of both classes no document is toxic.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontam, langid, simhash, toxicity
-from marlstone.llm.common import shared_dir, table
+from marlstone.llm.common import fresh, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,14 +35,16 @@ NEAR = {"shingle_words": 5, "lanes": 4, "radius": 60, "similarity": 0.8}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, trained on the labelled rows, scores below 0.5."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, keep=docs.columns, score_col="__toxicity").where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    (score,) = fresh(docs.columns, "toxicity")
+    return toxicity.score(docs, net, keep=docs.columns, score_col=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that has at least half of their letters."""
-    found = langid.identify(docs, langid.train(docs), keep=docs.columns, lang_col="__lang", score_col="__share", spans_col="__spans")
-    known = (F.col("__lang") != langid.UNKNOWN) & (F.col("__share") >= LEAST_LANGUAGE_SHARE)
-    return found.where(known).drop("__lang", "__share", "__spans")
+    lang, share, spans = fresh(docs.columns, "lang_pred", "share", "spans")
+    found = langid.identify(docs, langid.train(docs), keep=docs.columns, lang_col=lang, score_col=share, spans_col=spans)
+    known = (F.col(lang) != langid.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE_SHARE)
+    return found.where(known).drop(lang, share, spans)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
