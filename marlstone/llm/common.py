@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
+except OSError:  # another C library
+    _LIBC = None
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
@@ -103,5 +108,7 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
 
 
 def give_back() -> None:
-    """Return a Python worker's unused Arrow memory: idle workers of earlier stages stay beside those of later ones."""
+    """Return a Python worker's unused memory: idle workers of earlier stages stay beside those of later ones."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, discard, fresh, join_classes, materialize
+from marlstone.llm.common import bounded_batches, discard, fresh, give_back, join_classes, materialize
 
 BITS = 64
 SEED = 42
@@ -141,9 +141,11 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class BKTree:
     """A BK-tree over fingerprints, kept in preorder so that a subtree is a range of positions."""
 
-    LEAF = 32
+    #: Fingerprints of a leaf; edges within the wide radius of several lanes leave out little of a small set.
+    LEAF, WIDE_LEAF = 32, 256
 
     def __init__(self, fps: np.ndarray):
+        self.leaf = self.LEAF if fps.shape[1:] == (1,) else self.WIDE_LEAF
         self.nodes: list[tuple[int, int, list[tuple[int, int]]]] = []  # start, stop, [(distance, child)]
         order: list[np.ndarray] = []
         self._grow(fps, np.arange(len(fps)), order)
@@ -160,7 +162,7 @@ class BKTree:
                 self.nodes[link[0]][2].append((link[1], here))
             children: list[tuple[int, int]] = []
             self.nodes.append((start, start + len(members), children))
-            if len(members) <= self.LEAF:
+            if len(members) <= self.leaf:
                 order.append(members)
                 continue
             order.append(members[:1])
@@ -237,6 +239,8 @@ def components_within(fps: np.ndarray, radius: int, block: int | None = None) ->
     labels = np.arange(len(fps))
     if len(fps) < 2:
         return labels
+    if len(fps) <= (BKTree.LEAF if fps.shape[1] == 1 else BKTree.WIDE_LEAF):  # a tree of one leaf
+        return _merge(labels, *np.nonzero(_distance(fps[:, None], fps[None, :]) <= radius))
     tree = BKTree(fps)
     block = block or max(64, HELD_LINKS // len(fps))
     k, now = 0, 1
@@ -291,6 +295,7 @@ def _by_bands(distinct: DataFrame, lanes: int, bands: int, band_bits: int) -> Da
                 bits = np.unpackbits(_array(some, lanes).view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
                 values = bits[:, picked] @ powers + (np.arange(bands) << band_bits)
                 yield pa.RecordBatch.from_arrays([some.take(pa.array(np.repeat(np.arange(len(some)), bands))), pa.array(values.ravel())], ["fp", "bucket"])
+        give_back()
 
     return distinct.mapInArrow(run, f"fp {_type(lanes)}, bucket long")
 
@@ -336,6 +341,7 @@ def link_stars(distinct: DataFrame, *, radius: int, count: int, lanes: int = 1,
             rest_fp, rest_unit = fp[last:], unit[last:]
         if len(rest_fp) > 1:
             yield batch_of([stars(rest_fp)])
+        give_back()
 
     return dealt.mapInArrow(run, f"src {_type(lanes)}, dst {_type(lanes)}").where("src <> dst").distinct()
 
@@ -429,6 +435,8 @@ def set_prints(docs: DataFrame, *, id_col: str, text_col: str, shingle_words: in
                 keys.append(xxh3_128_digest(own.tobytes(), SEED))
                 sizes.append(len(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), _column(fps), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "key", "n"])
+            del batch, fps
+            give_back()
 
     return rows.mapInArrow(run, f"doc_id long, fp {_type(lanes)}, key binary, n long")
 
@@ -504,6 +512,8 @@ def verified_stars(members: DataFrame, docs: DataFrame, *, id_col: str, text_col
                 sets.append(np.frombuffer(blob.as_py(), "<u8"))
         if len(reps) > 1:
             yield stars()
+        reps, sets = [], []
+        give_back()
 
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
