@@ -12,7 +12,8 @@ As no chunk is shorter than the hash reaches back, a text that begins like anoth
 has its chunks up to the first difference: an edited text is chunked from the last
 common boundary.
 
-`compare_with_next` deals the rows to buckets of neighbouring ids, at most
+`compare_with_next` deals the rows to buckets of neighbouring ids by sampled quantiles,
+an id with many rows to several by the hash of the text, at most
 `MOST_BUCKETS` of them whatever the size, and streams through each in order, keeping one row
 in memory.  The first row of a bucket also goes to the bucket before it; only these
 ids reach the driver.  A text is shuffled once.
@@ -31,6 +32,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,16 +143,45 @@ def edit(text: str, following: str) -> str:
     return text[: n - n // 3] + following[: n // 3]
 
 
+def _bucket(cuts: list[int], null_buckets: int):
+    """A function of (doc_id or 0, whether it is null, hash) that gives the bucket, buckets following each other by falling id, null last, then rising hash.
+
+    cuts are quantiles of the ids; an id that several of them hit has as many buckets, by hash.
+    """
+    uppers, parts = [], []
+    for value, times in zip(*np.unique(np.array(cuts, np.int64), return_counts=True)):
+        if times > 1 and value > np.iinfo(np.int64).min:
+            uppers.append(value - 1)
+            parts.append(1)
+        uppers.append(value)
+        parts.append(times)
+    parts = np.array([*parts, 1], np.uint64)
+    first = (np.cumsum(parts[::-1])[::-1] - parts).astype(np.int64)
+    uppers, known = np.array(uppers, np.int64), int(parts.sum())
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, nulls: pd.Series, hashes: pd.Series) -> pd.Series:
+        null = nulls.to_numpy(bool)
+        at = np.searchsorted(uppers, ids.to_numpy(np.int64), "left")
+        n = np.where(null, np.uint64(max(1, null_buckets)), parts[at])
+        rank = (hashes.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return pd.Series(np.where(null, known, first[at]) + (rank * n >> np.uint64(32)).astype(np.int64))
+
+    return place
+
+
 def _with_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, guest, doc_id, text), dealt by bucket and sorted by falling id; a bucket ends with the first row of the next as guest."""
     bounded_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    seen = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    buckets = min(MOST_BUCKETS, -(-max(1, seen.n) // BUCKET_ROWS))
-    low, high = seen.low or 0, seen.high or 0
-    width = -(-(high - low + 1) // buckets)
-    rows = rows.withColumn("bucket", F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width), F.lit(buckets)).cast("int"))
+    seen = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    buckets = min(MOST_BUCKETS, -(-max(1, seen.known) // BUCKET_ROWS))
+    cuts = []
+    if buckets > 1:  # the sample decides how even the buckets are, and no result
+        some = rows.where(F.col("doc_id").isNotNull() & (F.rand(1) < min(1.0, 50 * buckets / seen.known)))
+        cuts = some.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0] or []
+    rows = rows.withColumn("bucket", _bucket(cuts, min(MOST_BUCKETS, -(-(seen.n - seen.known) // BUCKET_ROWS)))(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "hash"))
     # the first of a bucket: greatest id, null last, then least hash
     heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("hash").cast("decimal(20,0)")).alias("hash"))).alias("head")).collect()
     heads.sort(key=lambda r: r.bucket)

@@ -83,16 +83,26 @@ def fresh(taken: Sequence[str], *stems: str) -> list[str]:
     return out
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int, *, how: str = "inner", most: int = 4096) -> DataFrame:
-    """rows joined with classes on key, of which a few may hold a large share of the rows.
+def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], n: str, total: int, most: int = 4096) -> DataFrame:
+    """rows with the further columns of classes, null where no class has the keys.
 
-    classes has one row for each key, its column n the number of its rows; those of more than a 1/most part of the total
-    rows, which are fewer than most, are broadcast, and only the rest meet by shuffle.
+    classes has one row for each key, its column n the number of its rows. Classes of more than a 1/most part of the total
+    rows, fewer than most, are broadcast; their rows are spread over the tasks of the join with the others.
     """
+    values = [c for c in classes.columns if c not in (*keys, n)]
+    taken = [*rows.columns, *classes.columns]
+    found, salt, other = fresh(taken, "found", "salt", "other_salt")
+    hot_keys, rest_keys = fresh(taken, *(f"hot_{k}" for k in keys)), fresh(taken, *(f"rest_{k}" for k in keys))
+    hot_values, rest_values = fresh(taken, *(f"hot_{v}" for v in values)), fresh(taken, *(f"rest_{v}" for v in values))
     large = F.col(n) * most > total
-    hot = classes.where(large).drop(n)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(~large).drop(n), key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    named = lambda df, ks, vs: [*(F.col(a).alias(b) for a, b in zip(keys, ks)), *(F.col(a).alias(b) for a, b in zip(values, vs))]
+    hot = classes.where(large).select(*named(classes, hot_keys, hot_values), F.lit(True).alias(found))
+    rest = classes.where(~large).select(*named(classes, rest_keys, rest_values), F.lit(0).cast("long").alias(other))
+    on = lambda ks: [F.col(a) == F.col(b) for a, b in zip(keys, ks)]
+    spread = F.when(F.col(found), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(F.lit(0)).cast("long")
+    met = rows.join(F.broadcast(hot), on(hot_keys), "left").withColumn(salt, spread)
+    met = met.join(rest, [*on(rest_keys), F.col(salt) == F.col(other)], "left")
+    return met.select(*rows.columns, *(F.when(F.col(found), F.col(a)).otherwise(F.col(b)).alias(v) for a, b, v in zip(hot_values, rest_values, values)))
 
 
 def text_or_empty(name: str) -> Column:

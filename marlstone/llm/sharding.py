@@ -11,12 +11,13 @@ The quantile is found by distributed histograms: each round sums the weights
 of every open node in `bins` bins, narrows to the bin that holds the cut and goes
 on inside it, first over the dimension's values and then, among rows of that
 value, over a hash of the text, so that ties are cut as well.  The driver sees
-nodes x bins sums and never a list of groups.
+nodes x bins sums, a bounded number of them (more open nodes take fewer bins and more
+rounds), and never a list of groups.
 
 Law kept: `bytes`.  A shard misses its share by half of the groups at its cuts; a
 group larger than a share stays whole.  Slots count from 0 without gaps inside a
-shard; they are numbered by buckets of doc_ids and bucket offsets, so no task
-sorts a shard.
+shard; they are numbered by buckets of rows and bucket offsets, so no task
+sorts a shard. Groups of many rows get their shard by a bounded broadcast.
 
 Defined results.  A null text counts as the empty text (size 1, checksum 0).
 Null doc_id and source count as -1 and the empty string in the metadata.
@@ -30,11 +31,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, text_or_empty
+from marlstone.llm.common import join_classes, materialize, text_or_empty
 
 DIMENSIONS = ("first_id", "bytes", "origin")
 TIE_LIMIT = 1 << 60
 SLOT_BUCKET_ROWS = 65536
+#: Sums of bins that the driver sees at once, and levels of the tree that one plan holds.
+MOST_SUMS, PLAN_LEVELS = 1 << 18, 4
 
 
 def hash60(text: Column) -> Column:
@@ -56,7 +59,7 @@ def groups_of(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -
         "shard-rows",
     )
     groups = rows.groupBy("tie", "text_crc32", F.col("size").alias("bytes")).agg(
-        F.min(F.coalesce("doc_id", F.lit(-1))).alias("first_id"), F.min("origin").alias("origin"), F.sum("size").alias("weight")
+        F.min(F.coalesce("doc_id", F.lit(-1))).alias("first_id"), F.min("origin").alias("origin"), F.sum("size").alias("weight"), F.count("*").alias("n")
     )
     return rows, materialize(groups, "shard-groups")
 
@@ -87,6 +90,7 @@ def _find_cuts(placed: DataFrame, cuts: list[_Cut], bins: int) -> None:
     chosen = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
     open_cuts = cuts
     while open_cuts:
+        bins = max(16, min(bins, MOST_SUMS // len(open_cuts)))
         params = [
             [f"{c.node}L", f"{c.dim}", f"{c.lo}L", f"{c.hi}L", f"{(c.hi - c.lo) // bins + 1}L", "false" if c.value is None else "true", f"{c.value or 0}L"] for c in open_cuts
         ]
@@ -136,7 +140,7 @@ def assign_leaves(groups: DataFrame, shards: int, bins: int = 1024) -> DataFrame
     sizes = {0: (0, shards)}  # node: its first leaf and its leaves
     whole = groups.agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     extent = [max(1, (whole[f"hi_{d}"] or 0) - (whole[f"lo_{d}"] or 0)) for d in DIMENSIONS]
-    level_base = 1
+    level_base, level = 1, 0
     while any(n > 1 for _, n in sizes.values()):
         ranges = {
             r.node: r
@@ -150,9 +154,9 @@ def assign_leaves(groups: DataFrame, shards: int, bins: int = 1024) -> DataFrame
                 dim = widths.index(max(widths))
                 cuts.append(_Cut(node, leaves, dim, r[f"lo_{DIMENSIONS[dim]}"], r[f"hi_{DIMENSIONS[dim]}"], 2 * r.weight * (leaves // 2)))
         _find_cuts(placed, cuts, bins)
-        rows, following = [], {}
+        rows, following, cut_of = [], {}, {c.node: c for c in cuts}
         for node, (first, leaves) in sizes.items():
-            c = next((c for c in cuts if c.node == node), None)
+            c = cut_of.get(node)
             left, right = level_base, level_base + 1
             level_base += 2
             if leaves == 1 or c is None:
@@ -166,7 +170,9 @@ def assign_leaves(groups: DataFrame, shards: int, bins: int = 1024) -> DataFrame
         at = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
         goes_left = (at < F.col("value")) | ((at == F.col("value")) & (F.col("tie") <= F.col("cut")))
         placed = placed.join(F.broadcast(moves), "node").withColumn("node", F.when(goes_left, F.col("left_node")).otherwise(F.col("right_node"))).select(*placed.columns)
-        sizes = following
+        sizes, level = following, level + 1
+        if level % PLAN_LEVELS == 0 and any(n > 1 for _, n in sizes.values()):
+            placed = materialize(placed, "shard-placed")
     leaves = spark.sql(_values([[f"{n}L", f"{first}"] for n, (first, _) in sizes.items()], "node, shard"))
     return placed.join(F.broadcast(leaves), "node").drop("node")
 
@@ -179,10 +185,12 @@ def kd_tree_shards(
     if shards is None:
         total = groups.agg(F.sum("weight")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    placed = assign_leaves(groups, shards, bins).select("tie", "text_crc32", F.col("bytes").alias("size"), "shard")
-    sharded = rows.join(placed, ["tie", "text_crc32", "size"])
-    buckets = max(1, -(-rows.count() // SLOT_BUCKET_ROWS))
-    dealt = sharded.withColumn("bucket", F.pmod(hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(buckets)))
+    placed = assign_leaves(groups, shards, bins).select("tie", "text_crc32", F.col("bytes").alias("size"), "shard", "n")
+    total = rows.count()
+    sharded = join_classes(rows, placed, ["tie", "text_crc32", "size"], "n", total)
+    buckets = max(1, -(-total // SLOT_BUCKET_ROWS))
+    # by id and text, so that neither one id nor one text fills a bucket
+    dealt = sharded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     dealt = materialize(dealt, "shard-dealt")
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))

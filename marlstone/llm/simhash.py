@@ -411,7 +411,7 @@ def near_duplicate_groups(
     stars = link_stars(nodes.select("fp"), radius=radius, count=nodes.count(), lanes=lanes, bands=bands, band_bits=band_bits, shard_rows=shard_rows)
     labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
     known = materialize(nodes.join(labels, "fp", "left").select("fp", "n", F.coalesce("linked", "rep").alias("component_id")), "simhash-known")
-    return join_classes(prints, known, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
+    return join_classes(prints, known, ["fp"], "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -546,7 +546,7 @@ def similar_groups(
     links = verified_stars(members, docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, shard_bytes=shard_bytes, broadcast_rows=broadcast_rows)
     joined = component_labels(members.select(F.col("rep").alias("fp"), "rep"), links).select(F.col("fp").alias("of"), F.col("rep").alias("linked"))
     final = materialize(sets.join(joined, F.col("rep") == F.col("of"), "left").select("key", "rows", F.coalesce("linked", "rep").alias("component_id")), "simhash-final")
-    return join_classes(prints, final, "key", "rows", prints.count()).select("doc_id", "key", "component_id")
+    return join_classes(prints, final, ["key"], "rows", prints.count()).select("doc_id", "key", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:

@@ -14,7 +14,8 @@ blocked, and its pages with it where no rule speaks.  Links without a host stay
 their page's host, which moves no rank.
 
 Edges and seeds are summed per host before any join, so a host with a large share
-of all pages is one row there.
+of all pages is one row there; its pages get their verdict by a bounded broadcast.
+Equal trust and distrust, and neither, allow.
 
 Defined results.  A null url or one without `://` has an empty host and path, fits
 no rule, takes no part in the graph and is allowed.  Null html has no links.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import join_classes, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.0
@@ -127,13 +128,16 @@ def judge(
     links = materialize(host_edges(pages, url_col=url_col, html_col=html_col), "url-edges")
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     counted = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), *[F.count_if(F.col("fit.verdict") == v).alias(v) for v in ("allow", "block")])
+    counted = materialize(counted, "url-hosts")
     kind = F.when(2 * F.col("allow") > F.col("pages"), "trust").when(2 * F.col("block") > F.col("pages"), "distrust")
     seeds = counted.select(kind.alias("kind"), "host", F.greatest("allow", "block").alias("weight")).where("kind IS NOT NULL")
     mass = propagate(edges, seeds, damping=damping, rounds=rounds)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0))
     hosts = mass.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     by_method = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) - F.coalesce(F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow")
-    return ruled.join(hosts, "host", "left").select(
+    total = counted.agg(F.sum("pages")).first()[0] or 0
+    classes = counted.select("host", "pages").join(hosts, "host", "left").unionByName(pages.sparkSession.sql(f"SELECT '' AS host, {total + 1}L AS pages, 0D AS trust, 0D AS distrust"))
+    return join_classes(ruled, classes, ["host"], "pages", total).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
 

@@ -84,6 +84,15 @@ def test_next_matches_brute_force(spark, monkeypatch, bucket_rows):
     assert run(spark, rows) == slow(rows)
 
 
+def test_buckets_are_even_under_skewed_ids(spark, monkeypatch):
+    monkeypatch.setattr(cdc, "BUCKET_ROWS", 50)
+    rows = [(k, f"own {k}") for k in range(600)] + [(7, f"many {k}") for k in range(700)] + [(None, f"none {k}") for k in range(700)] + [(-(2**63), "least"), (2**63 - 1, "most"), (10**15, "far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in cdc._with_neighbours(df, "doc_id", "text").groupBy("bucket").count().collect()]
+    assert len(sizes) > 25 and max(sizes) < 250
+    assert run(spark, rows) == slow(rows)
+
+
 def test_one_row_and_empty_table(spark):
     assert run(spark, [(5, "abc" * 30)]) == slow([(5, "abc" * 30)])
     assert run(spark, [(None, None)]) == slow([(None, None)])
