@@ -15,7 +15,9 @@ Inside a block white space becomes one space; blocks are joined in page order by
 space.  A line break counts as white space.  Nothing inside a kept container is
 dropped for being short, long or linked.
 
-Each page is read whole by one call, in one scan without a shuffle.
+Each page is read whole by one call, in one scan without a shuffle. The work grows in proportion
+to the page, however deep its elements lie and however many tags and quotes stay open.
+Of containers with equal points the first leads.
 
 Defined results.  Null and empty pages and pages without text give the empty string.
 Where no container scores, all text outside left-out parts is kept.  Text without
@@ -27,7 +29,8 @@ the end of the page closes all.  Repeated rows are extracted each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -38,11 +41,13 @@ from marlstone.llm.common import bounded_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|noframes|noembed|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe|noframes|noembed|xmp)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)",
     re.S | re.I,
 )
+#: The rest of a tag up to its end; a quoted value may hold any character.
+TAG_REST = re.compile(r"""((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Fixed values of the HTML standard: elements that stay inside a line, and elements without content.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -103,10 +108,71 @@ def _judge(tag: str, attributes: str) -> tuple[bool, float, bool]:
     return out, prior, tag == "a"
 
 
+def _tag_ends(html: str) -> list[int]:
+    """For each position where the tag ends that is open there outside of quotes, -1 without an end; one pass from the right."""
+    out = [-1] * (len(html) + 1)
+    plain = double = single = -1
+    for k in range(len(html) - 1, -1, -1):
+        c = html[k]
+        plain, double, single = (
+            k if c == ">" else double if c == '"' else single if c == "'" else plain,
+            plain if c == '"' else double,
+            plain if c == "'" else single,
+        )
+        out[k] = plain
+    return out
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, str | None, str | None, bool, str]]:
+    """(start, stop, element skipped with its content, tag, whether it closes, attributes); what lies between tokens is text."""
+    ends: list[int] | None = None
+    at = 0
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        if m[3] is None:
+            yield m.start(), at, m[1], None, False, ""
+            continue
+        if ends is None:
+            if rest := TAG_REST.match(html, at):
+                stop = rest.end() - 1
+            else:  # from here on no tag is looked for twice
+                ends = _tag_ends(html)
+                stop = -1
+        else:
+            stop = ends[at]
+        if stop >= 0:  # a tag without an end is text
+            yield m.start(), stop + 1, None, m[3], bool(m[2]), html[at:stop]
+            at = stop + 1
+
+
+class _Stack:
+    """The open elements, and where those of each name lie."""
+
+    def __init__(self, root: _Node):
+        self.items, self.places = [root], defaultdict(list)
+
+    def top(self) -> _Node:
+        return self.items[-1]
+
+    def push(self, node: _Node) -> None:
+        self.places[node.tag].append(len(self.items))
+        self.items.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        for node in self.items[k:]:
+            self.places[node.tag].pop()
+        del self.items[k:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element of these names, 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+
 def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     """The block elements in page order, and the blocks of text outside left-out parts with their element."""
     root = _Node("html", None, False, PRIOR["html"], 0)
-    nodes, blocks, stack = [root], [], [root]
+    nodes, blocks, stack = [root], [], _Stack(root)
     pieces: list[str] = []
     linked = [0]  # characters of links in the open block
     links = 0
@@ -116,7 +182,7 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                node = stack[-1]
+                node = stack.top()
                 while node.tag in INLINE and node.parent is not None:
                     node = node.parent
                 blocks.append((node, text))
@@ -125,25 +191,24 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         linked[0] = 0
 
     def say(raw: str) -> None:
-        if not stack[-1].out and raw:
+        if not stack.top().out and raw:
             text = unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if links:
                 linked[0] += len(text)
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for start, stop, skipped, name, closes, attributes in _tokens(html):
+        if start > at:
+            say(html[at:start])
+        at = stop
         if name is None:
-            if m[1] is not None and m[1].lower() in ("iframe", "noscript", "textarea"):
+            if skipped is not None and skipped.lower() in ("iframe", "noscript", "textarea"):
                 pieces.append(" ")
             continue
         tag = name.lower()
         if tag == "br" or tag == "hr" or tag == "wbr":
-            if not stack[-1].out:
+            if not stack.top().out:
                 pieces.append("" if tag == "wbr" else " ")
             if tag == "hr":
                 flush()
@@ -151,67 +216,60 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if tag in VOID:
             continue
         inline = tag in INLINE
-        if m[2]:
+        if closes:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if not inline or any(n.tag not in INLINE for n in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
+            if k := stack.last((tag,)):
+                if not inline or any(n.tag not in INLINE for n in stack.items[k:]):
+                    flush()
+                stack.cut(k)
             continue
-        out, prior, link = _judge(tag, m[4])
+        out, prior, link = _judge(tag, attributes)
         links += link
         if inline:
-            if out and not stack[-1].out:  # kept on the stack only to find its end
-                stack.append(_Node(tag, stack[-1], True, 0.0, 0))
-            elif stack[-1].out and stack[-1].tag == tag:
-                stack.append(_Node(tag, stack[-1], True, 0.0, 0))
+            if out and not stack.top().out:  # kept on the stack only to find its end
+                stack.push(_Node(tag, stack.top(), True, 0.0, 0))
+            elif stack.top().out and stack.top().tag == tag:
+                stack.push(_Node(tag, stack.top(), True, 0.0, 0))
             continue
         flush()
         links = 0
-        if tag == "header" and out and not m[4].strip() and any(n.tag in ("article", "main") for n in stack):
+        if tag == "header" and out and not attributes.strip() and stack.last(("article", "main")):
             out = False  # an article's own header has its title
-        while len(stack) > 1 and stack[-1].tag in INLINE and not stack[-1].out:
-            stack.pop()
-        if len(stack) > 1 and stack[-1].tag == "p":
-            stack.pop()
-        elif len(stack) > 1 and stack[-1].tag in HEADINGS and tag in HEADINGS | {"p"}:
-            stack.pop()
+        while len(stack.items) > 1 and stack.top().tag in INLINE and not stack.top().out:
+            stack.cut(len(stack.items) - 1)
+        if len(stack.items) > 1 and (stack.top().tag == "p" or (stack.top().tag in HEADINGS and tag in HEADINGS | {"p"})):
+            stack.cut(len(stack.items) - 1)
         if tag in CLOSES_LIKE:
             like, scope = CLOSES_LIKE[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in scope:
-                    break
-                if stack[k].tag in like.split():
-                    del stack[k:]
-                    break
-        if tag == "html" or (tag == "body" and stack[-1].tag in ("html", "head")):
-            del stack[1:]
+            if (k := stack.last(like.split())) > stack.last(scope):
+                stack.cut(k)
+        if tag == "html" or (tag == "body" and stack.top().tag in ("html", "head")):
+            stack.cut(1)
             if tag == "html":
                 continue
-        node = _Node(tag, stack[-1], out or stack[-1].out, prior, len(nodes))
+        node = _Node(tag, stack.top(), out or stack.top().out, prior, len(nodes))
         nodes.append(node)
-        stack.append(node)
+        stack.push(node)
     if at < len(html):
-        say(html[at:] if not html.startswith("<", at) else html[at:])
+        say(html[at:])
     flush()
+    for n in reversed(nodes):  # parents stand before their children
+        if n.parent is not None:
+            n.parent.length += n.length
+            n.parent.linked += n.linked
     return nodes, blocks
 
 
 def _pass_points(node: _Node, text: str, linked: int) -> None:
-    """Give a block's points to the ancestors and its length to all of them."""
+    """Give a block's points to the ancestors and its length to its element."""
     heading = node.tag in HEADINGS
     points = 0.5 if heading else 1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3.0)
     points *= 1 - linked / len(text)
     target = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
     share = 1.0
-    above = node
-    while above is not None:
-        above.length += len(text)
-        above.linked += linked
-        above = above.parent
+    node.length += len(text)
+    node.linked += linked
     level = 1
     while target is not None and level < 7:
         target.score += points * share
@@ -262,17 +320,9 @@ def main_text(html: str | None) -> str:
                 n.kept = few_links
             else:
                 n.kept = worth(n) >= least and few_links
-    kept = []
-    for node, text in blocks:
-        above: _Node | None = node
-        if node in path:
-            kept.append(text)
-            continue
-        while above is not None and not above.kept:
-            above = above.parent
-        if above is not None:
-            kept.append(text)
-    return " ".join(kept)
+    for n in nodes:  # parents stand before their children
+        n.kept = n.kept or (n.parent is not None and n.parent.kept)
+    return " ".join(text for node, text in blocks if node in path or node.kept)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
