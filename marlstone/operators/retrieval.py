@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import needle_hits, word_grams
+from marlstone.functions.text import SPACED_RUN, WORD_CLASS, word_grams
 from marlstone.operators.corpus import FIELDS, WEIGHTS, corpus_statistics, term_frequencies
 from marlstone.sources.workspace import materialize
 
@@ -112,24 +112,33 @@ def name_coverage(terms: DataFrame, queries: DataFrame) -> DataFrame:
     return matched.join(total, "query_id").select("query_id", "path", F.when(F.col("total") == 0, 0.0).otherwise(F.col("matched") / F.col("total")).alias("coverage"))
 
 
+def _named_fields(pages: DataFrame, points: dict[str, int]) -> DataFrame:
+    """(path, points, value): a lower-case row for each title, alias, summary and text that has points."""
+    def pointed(f: str, p: int) -> Column:
+        return F.transform(F.col(f) if f == "aliases" else F.array(F.col(f)), lambda v: F.struct(F.lit(p).alias("points"), F.lower(v).alias("value")))
+
+    every = [pointed(f, p) for f, p in points.items()]
+    return pages.select("path", F.explode(F.concat(*[F.coalesce(e, F.array().cast("array<struct<points:int,value:string>>")) for e in every])).alias("f")).select("path", "f.points", "f.value").where("value IS NOT NULL")
+
+
 def profile_score(pages: DataFrame, needles: DataFrame, *, with_text: bool = True) -> DataFrame:
     """(query_id, path, score, found, named): the first field that a needle hits gives 3, 2, 1 or 1 points.
 
-    needles is (query_id, needles): one array a query, broadcast if there are few queries.
+    needles is (query_id, needles): one array a query.  A spaced needle hits the words that begin with it, which are found in
+    the corpus's vocabulary; any other needle is looked for as a substring.
     """
-    low = pages.select("path", F.lower("title").alias("t"), F.transform("aliases", lambda a: F.lower(a)).alias("a"), F.lower("summary").alias("s"), F.lower("text").alias("x"))
-
-    def points(n: Column) -> Column:
-        out = F.when(needle_hits(F.col("t"), n), 3).when(F.exists("a", lambda a: needle_hits(a, n)), 2).when(needle_hits(F.col("s"), n), 1)
-        return (out.when(needle_hits(F.col("x"), n), 1) if with_text else out).otherwise(0)
-
-    got = low.crossJoin(small(needles, 1000)).select("query_id", "path", F.transform("needles", lambda n: F.struct(points(n).alias("p"), (needle_hits(F.col("t"), n) | F.exists("a", lambda a: needle_hits(a, n))).alias("named"))).alias("p"))
-    return got.select(
-        "query_id", "path",
-        F.aggregate("p", F.lit(0), lambda s, x: s + x["p"]).alias("score"),
-        F.size(F.filter("p", lambda x: x["p"] > 0)).alias("found"),
-        F.size(F.filter("p", lambda x: x["named"])).alias("named"),
-    ).where("score > 0")
+    asked = materialize(needles.select("query_id", F.posexplode("needles").alias("place", "word")), "needles")
+    words = asked.select("word").distinct()
+    fields = _named_fields(pages, {"title": 3, "aliases": 2, "summary": 1} | ({"text": 1} if with_text else {}))
+    held = fields.select("path", "points", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(f"[{WORD_CLASS}]+"), 0))).alias("token"))
+    vocabulary = held.select("token").distinct()
+    begins = vocabulary.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.left("token", n))).alias("word"))
+    spaced = F.col("word").rlike(f"^{SPACED_RUN}$")
+    pairs = begins.join(small(words.where(spaced)), "word")
+    hits = held.join(small(materialize(pairs, "needle-words")), "token").select("path", "word", "points")
+    hits = hits.unionByName(substring_hits(fields, "value", words.where(~spaced), keep=("path", "points")))
+    best = hits.groupBy("path", "word").agg(F.max("points").alias("p"))
+    return asked.join(best, "word").groupBy("query_id", "path").agg(F.sum("p").cast("int").alias("score"), F.count("*").cast("int").alias("found"), F.count_if(F.col("p") >= 2).cast("int").alias("named"))
 
 
 def rrf(ranked: DataFrame, k: int = FUSION_K) -> DataFrame:
@@ -191,10 +200,25 @@ def expand(
 
 def keyword_ranking(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """(query_id, path, score, found): 3 points for a keyword in the title, 2 for each alias that has it.  keywords is (query_id, keywords)."""
-    low = pages.select("path", F.lower("title").alias("t"), F.transform("aliases", lambda a: F.lower(a)).alias("a"))
-    each = lambda k: F.struct((F.when(F.contains(F.col("t"), k), 3).otherwise(0) + 2 * F.size(F.filter("a", lambda a: F.contains(a, k)))).alias("p"))
-    got = low.crossJoin(small(keywords, 1000)).select("query_id", "path", F.transform("keywords", each).alias("p"))
-    return got.select("query_id", "path", F.aggregate("p", F.lit(0), lambda s, x: s + x["p"]).alias("score"), F.size(F.filter("p", lambda x: x["p"] > 0)).alias("found")).where("score > 0")
+    asked = materialize(keywords.select("query_id", F.posexplode("keywords").alias("place", "word")), "keywords")
+    hits = substring_hits(_named_fields(pages, {"title": 3, "aliases": 2}), "value", asked.select("word").distinct(), keep=("path", "points"))
+    best = hits.groupBy("path", "word").agg(F.sum("points").alias("p"))
+    return asked.join(best, "word").groupBy("query_id", "path").agg(F.sum("p").cast("int").alias("score"), F.count("*").cast("int").alias("found"))
+
+
+def substring_hits(pages: DataFrame, text_col: str, needles: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(*keep, word): which of the words, a relation with the one column word, lie anywhere in a page's text.
+
+    Few words are looked for in each page; more meet the pages by their first three characters, shorter ones by all their characters.
+    """
+    few = small(needles, 1000)
+    if few is not needles:
+        return pages.crossJoin(few).where(F.contains(text_col, F.col("word"))).select(*keep, "word")
+    size = lambda n: F.greatest(F.length(text_col) - n + 1, F.lit(0))
+    cut = lambda n: F.when(size(n) > 0, F.transform(F.sequence(F.lit(1), size(n)), lambda i: F.substring(F.col(text_col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    starts = pages.select(*keep, text_col, F.explode(F.array_distinct(F.concat(cut(1), cut(2), cut(3)))).alias("start"))
+    keyed = needles.where("word <> ''").select("word", F.left("word", F.lit(3)).alias("start"))
+    return starts.join(keyed, "start").where(F.contains(text_col, F.col("word"))).select(*keep, "word")
 
 
 def candidate_window(pages: DataFrame, keywords: DataFrame, context: DataFrame, *, k: int = 30, df_cap: float = 0.5, text_chars: int = 2000) -> DataFrame:
@@ -204,13 +228,18 @@ def candidate_window(pages: DataFrame, keywords: DataFrame, context: DataFrame,
     """
     body = pages.select("path", F.left(F.lower("text"), F.lit(text_chars)).alias("body"))
     with_text = pages.where("text IS NOT NULL").count()
-    hits = body.crossJoin(small(context.select("word").distinct(), 10_000)).where(F.contains("body", F.col("word"))).select("path", "word")
+    hits = substring_hits(body, "body", context.select("word").distinct())
     fine = hits.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= int(with_text * df_cap))
     worded = context.join(fine, "word").join(hits, "word").groupBy("query_id", "path").agg(F.count("*").alias("words"))
     named = keyword_ranking(pages, keywords).select("query_id", "path", "score")
     both = named.join(worded, ["query_id", "path"], "full").select("query_id", "path", (F.coalesce("score", F.lit(0)) + F.coalesce("words", F.lit(0))).alias("score"))
-    everything = keywords.select("query_id").crossJoin(pages.select("path", "pos")).join(both, ["query_id", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    return top_k(everything, k, F.col("score").desc(), F.col("pos")).drop("pos")
+    # pages without points only fill up what is left of the k, in page order, so k + (pages with points) of the first ones are enough
+    scored = top_k(both.join(pages.select("path", "pos"), "path"), k, F.col("score").desc(), F.col("pos"))
+    found = keywords.select("query_id").join(both.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left").fillna(0, ["found"]).where(F.col("found") < k)
+    first = pages.orderBy("pos", "path").select("path", "pos").limit(2 * k)
+    filling = found.join(F.broadcast(first)).join(both.select("query_id", "path"), ["query_id", "path"], "left_anti")
+    filling = top_k(filling, k, F.col("pos")).where(F.col("rank") <= k - F.col("found")).select("query_id", "path", F.lit(0).alias("score"), (F.col("rank") + F.col("found")).alias("rank"))
+    return scored.select("query_id", "path", "score", "rank").unionByName(filling)
 
 
 def history_query(turns: DataFrame, rounds: int = 5) -> DataFrame:

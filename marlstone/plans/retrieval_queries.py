@@ -22,10 +22,9 @@ len AS (SELECT path, field, len(terms) AS length FROM ft),
 stats AS (SELECT count(*) FILTER (field = 'title') AS n, coalesce(avg(length) FILTER (field = 'title' AND length > 0), 0) AS avg_title, 0.0 AS avg_alias,
   coalesce(avg(length) FILTER (field = 'summary' AND length > 0), 0) AS avg_summary, coalesce(avg(length) FILTER (field = 'text' AND length > 0), 0) AS avg_text FROM len),
 df AS (SELECT term, count(DISTINCT path) AS df FROM post GROUP BY term)"""
-#: Questions: the first six words of each benchmark passage.
-QUESTION_WORDS = 6
+#: Questions: the benchmark passages, all their words.
 QUESTION_SQL = f"""
-q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')[1:{QUESTION_WORDS}]) AS term FROM benchmark),
+q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark),
 q AS (SELECT DISTINCT query_id, term, 1.0 AS weight FROM q0)"""
 
 
@@ -52,7 +51,7 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(spaced_words(F.col("text")), 1, QUESTION_WORDS)).alias("pos", "term"))
+    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(spaced_words(F.col("text"))).alias("pos", "term"))
     return retrieval.query_terms(words.withColumn("weight", F.lit(1.0)))
 
 
@@ -67,9 +66,9 @@ def term_df(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.term_frequencies(corpus.postings(terms(spark, sf)))
 
 
-@query("field_term_counts", f"WITH {FIELD_SQL} SELECT field, term, sum(tf)::BIGINT AS tf, count(*) AS pages FROM post WHERE field <> 'text' GROUP BY field, term")
+@query("field_term_counts", f"WITH {FIELD_SQL} SELECT field, term, sum(tf)::BIGINT AS tf, count(*) AS pages FROM post GROUP BY field, term")
 def field_term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.postings(terms(spark, sf).where("field <> 'text'")).groupBy("field", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("pages"))
+    return corpus.postings(terms(spark, sf)).groupBy("field", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("pages"))
 
 
 @query("field_lengths", f"WITH {FIELD_SQL} SELECT path, field, length FROM len")
@@ -77,17 +76,17 @@ def field_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.field_lengths(terms(spark, sf)).select("path", "field", F.col("length").cast("long").alias("length"))
 
 
-@query("inverted_index", f"WITH {FIELD_SQL} SELECT term, array_to_string(list_sort(list_distinct(list(path))), ' ') AS paths FROM post WHERE field IN ('title', 'summary') GROUP BY term")
+@query("inverted_index", f"WITH {FIELD_SQL} SELECT term, array_to_string(list_sort(list_distinct(list(path))), ' ') AS paths FROM post GROUP BY term")
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
-    index = corpus.inverted_index(corpus.postings(terms(spark, sf).where(F.col("field").isin("title", "summary"))))
+    index = corpus.inverted_index(corpus.postings(terms(spark, sf)))
     return index.select("term", F.array_join(F.col("paths").cast("array<string>"), " ").alias("paths"))
 
 
 @query("gram_df", rf"""WITH {FIELD_SQL},
-g AS (SELECT DISTINCT path, unnest([substr(strip_accents(term), i, 3) FOR i IN range(1, length(strip_accents(term)) - 1)]) AS gram FROM post WHERE field = 'title')
+g AS (SELECT DISTINCT path, unnest([substr(strip_accents(term), i, 3) FOR i IN range(1, length(strip_accents(term)) - 1)]) AS gram FROM (SELECT DISTINCT path, term FROM post))
 SELECT gram, count(*) AS df FROM g GROUP BY gram""")
 def gram_df(spark: SparkSession, sf: str) -> DataFrame:
-    grams = corpus.gram_postings(terms(spark, sf).where("field = 'title'"))
+    grams = corpus.gram_postings(terms(spark, sf))
     return grams.select("path", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
 
 
@@ -120,7 +119,7 @@ def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(scored, 20).select("query_id", "path", F.round("score", 6).alias("score"), F.col("found").cast("long").alias("found"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("bm25f_oov_grams", rf"""WITH {FIELD_SQL}, {QUESTION_SQL.replace("unnest(regexp_extract_all(lower(text), '" + WORD + "')[1:6]) AS term", "unnest(['zz' || regexp_extract_all(lower(text), '" + WORD + "')[1], regexp_extract_all(lower(text), '" + WORD + "')[2] || 'qx']) AS term")},
+@query("bm25f_oov_grams", rf"""WITH {FIELD_SQL}, {QUESTION_SQL.replace("unnest(regexp_extract_all(lower(text), '" + WORD + "')) AS term", "unnest(['zz' || w || 'qx' FOR w IN regexp_extract_all(lower(text), '" + WORD + "')]) AS term")},
 mg AS (SELECT query_id, q.term, list_distinct([substr(strip_accents(q.term), i, 3) FOR i IN range(1, length(strip_accents(q.term)) - 1)]) AS grams FROM q WHERE q.term NOT IN (SELECT term FROM df)),
 m AS (SELECT * FROM mg WHERE len(grams) >= 3),
 a AS (SELECT DISTINCT term, unnest(grams) AS gram FROM m),
@@ -134,8 +133,7 @@ sc AS (SELECT query_id, path, round(sum(s / len(grams)), 9) AS score FROM m JOIN
 {rank_sql("sc", "top", 10)}
 SELECT query_id, path, round(score, 6) AS score, rank FROM top""")
 def bm25f_oov_grams(spark: SparkSession, sf: str) -> DataFrame:
-    words = spaced_words(F.col("text"))
-    made = F.array(F.concat(F.lit("zz"), F.get(words, F.lit(0))), F.concat(F.get(words, F.lit(1)), F.lit("qx")))
+    made = F.transform(spaced_words(F.col("text")), lambda w: F.concat(F.lit("zz"), w, F.lit("qx")))
     asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(made).alias("term"), F.lit(1.0).alias("weight")).distinct()
     t = terms(spark, sf)
     unknown = asked.join(t.select(F.explode("terms").alias("term")).distinct(), "term", "left_anti")
@@ -152,14 +150,14 @@ def name_tier_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("coverage >= 0.25").withColumn("coverage", F.round("coverage", 6))
 
 
-NEEDLE_SQL = f"n AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')[1:6]) AS needles FROM benchmark)"
+NEEDLE_SQL = f"n AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS needles FROM benchmark)"
 
 
 def needles(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(spaced_words(F.col("text")), 1, QUESTION_WORDS)).alias("needles"))
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(spaced_words(F.col("text"))).alias("needles"))
 
 
-SPACED_SQL = "sp AS (SELECT path, ' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g') AS title, ' ' || regexp_replace(lower(summary), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g') AS summary FROM page)"
+SPACED_SQL = "sp AS (SELECT path, ' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g') AS title, ' ' || regexp_replace(lower(summary), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g') AS summary, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g') AS body FROM page)"
 
 
 def _hit_sql(field: str) -> str:
@@ -167,12 +165,12 @@ def _hit_sql(field: str) -> str:
 
 
 @query("legacy_profile_score", f"""WITH {FIELD_SQL}, {NEEDLE_SQL}, {SPACED_SQL},
-e AS (SELECT query_id, path, CASE WHEN {_hit_sql("title")} THEN 3 WHEN {_hit_sql("summary")} THEN 1 ELSE 0 END AS p, {_hit_sql("title")} AS named
+e AS (SELECT query_id, path, CASE WHEN {_hit_sql("title")} THEN 3 WHEN {_hit_sql("summary")} OR {_hit_sql("body")} THEN 1 ELSE 0 END AS p, {_hit_sql("title")} AS named
   FROM sp, (SELECT query_id, unnest(needles) AS needle FROM n)),
 s AS (SELECT query_id, path, sum(p) AS score, count(*) FILTER (p > 0) AS found, count(*) FILTER (named) AS named FROM e GROUP BY query_id, path HAVING sum(p) > 0)
 SELECT query_id, path, score::INTEGER AS score, found::INTEGER AS found, named::INTEGER AS named FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, found DESC, path) <= 20""")
 def legacy_profile_score(spark: SparkSession, sf: str) -> DataFrame:
-    s = retrieval.profile_score(pages(spark, sf), needles(spark, sf), with_text=False)
+    s = retrieval.profile_score(pages(spark, sf), needles(spark, sf))
     return retrieval.top_k(s, 20, F.col("score").desc(), F.col("found").desc(), F.col("path")).drop("rank")
 
 

@@ -14,7 +14,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select(F.col("user_id").alias("path"), F.date_trunc("day", "ts").alias("mtime"), F.col("ts").alias("at"), F.col("event_type").alias("folder"), "event_id")
 
 
-@query("event_dedup_ttl", """SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts) AS before FROM events) WHERE before IS NULL OR ts > before + INTERVAL 600 SECOND""")
+@query("event_dedup_ttl", """WITH RECURSIVE e AS (SELECT event_id, user_id, date_trunc('day', ts) AS day, ts, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS place FROM events),
+r AS (SELECT event_id, user_id, day, place, ts AS accepted, TRUE AS kept FROM e WHERE place = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.day, e.place, CASE WHEN e.ts >= accepted + INTERVAL 600 SECOND THEN e.ts ELSE accepted END, e.ts >= accepted + INTERVAL 600 SECOND
+  FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.place = r.place + 1)
+SELECT event_id FROM r WHERE kept""")
 def event_dedup_ttl(spark: SparkSession, sf: str) -> DataFrame:
     return watch.drop_repeats(_events(spark, sf)).select("event_id")
 

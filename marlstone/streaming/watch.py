@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 QUIET_SECONDS, LONGEST_SECONDS = 5, 60
@@ -26,19 +28,62 @@ def file_events(spark: SparkSession, folder: str, pattern: str = "*.md") -> Data
     return files.schema(schema).load(folder).select("path", F.col("modificationTime").alias("mtime"), F.col("modificationTime").alias("at"), F.decode("content", "UTF-8").alias("content"))
 
 
+def accepted_once(seconds: int) -> Callable:
+    """For applyInPandasWithState: lets an event of its key through unless another was let through less than so many seconds before."""
+    ttl = 1_000_000 * seconds
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
+        kept = []
+        for at in micros(rows["at"]):
+            kept.append(last is None or at >= last + ttl)
+            last = at if kept[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[kept]
+
+    return run
+
+
+def micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
 def drop_repeats(events: DataFrame, seconds: int = EVENT_TTL_SECONDS) -> DataFrame:
-    """Events whose (path, mtime) was not seen in the last so many seconds."""
+    """Events of whose (path, mtime) none was let through in the so many seconds before; an event that is dropped renews nothing.
+
+    A finite relation is folded in order, one row at a time, so no group is held in memory.
+    """
     if events.isStreaming:
-        return events.withWatermark("at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["path", "mtime"])
-    before = F.lag("at").over(Window.partitionBy("path", "mtime").orderBy("at"))
-    return events.withColumn("before", before).where(F.col("before").isNull() | (F.col("at") > F.col("before") + F.make_dt_interval(secs=F.lit(seconds)))).drop("before")
+        keyed = events.withWatermark("at", f"{seconds} seconds").groupBy("path", "mtime")
+        return keyed.applyInPandasWithState(accepted_once(seconds), events.schema, "last long", "append", "EventTimeTimeout")
+    ttl, names = 1_000_000 * seconds, events.columns
+    stamped = events.select(F.struct(*names).alias("row"), F.struct("path", "mtime").alias("key"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    dealt = stamped.withColumn("hash", F.xxhash64("key")).repartition("key").sortWithinPartitions("hash", "key", "at", "row")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        for batch in batches:
+            kept = []
+            for now, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist()):
+                if now != key:
+                    key, last = now, None
+                kept.append(last is None or at >= last + ttl)
+                last = at if kept[-1] else last
+            yield batch.filter(pa.array(kept, pa.bool_())).select(["row"])
+
+    return dealt.mapInArrow(fold, StructType([StructField("row", events.schema)])).select("row.*")
 
 
 def quiet_batches(events: DataFrame, seconds: int = QUIET_SECONDS, *, by: str | None = None) -> DataFrame:
     """(start, stop, events, paths) of runs of events with gaps of at most so many seconds; by splits them by a column, which a stream needs."""
     rows = events.withWatermark("at", f"{seconds} seconds") if events.isStreaming else events
     keys = [F.session_window("at", f"{seconds} seconds").alias("w")] + ([F.col(by)] if by else [])
-    out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.approx_count_distinct("path").alias("paths") if events.isStreaming else F.count_distinct("path").alias("paths"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths"))
     return out.select(*([by] if by else []), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events", "paths")
 
 

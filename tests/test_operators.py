@@ -152,6 +152,13 @@ def test_capped_runs():
     assert watch.capped_runs(list(range(0, 70000, 4000)), 5000, 60000)[-3:] == [1, 1, 1]
 
 
+def test_a_dropped_event_renews_nothing(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0, t0 + dt.timedelta(minutes=5 * k)) for k in range(13)] + [("b", t0, t0), ("a", None, t0), (None, t0, t0), (None, t0, t0)]
+    kept = watch.drop_repeats(spark.createDataFrame(rows, "path string, mtime timestamp, at timestamp")).collect()
+    assert sorted((r.at - t0).seconds // 60 for r in kept if r.path == "a" and r.mtime) == [0, 10, 20, 30, 40, 50, 60] and len(kept) == 10
+
+
 def test_streams_match_finite_forms(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(f"p{i % 3}", t0, t0 + dt.timedelta(seconds=s), "f") for i, s in enumerate([0, 1, 2, 3, 10, 11, 700, 2000])]
@@ -166,7 +173,11 @@ def test_streams_match_finite_forms(spark, tmp_path):
 
     finite = spark.read.parquet(str(tmp_path / "in"))
     kept = drain(watch.drop_repeats(stream), "kept")
-    assert {(r.path, r.at) for r in watch.drop_repeats(finite).collect()} >= {(r.path, r.at) for r in kept} and {r.path for r in kept} == {"p0", "p1", "p2"}
+    assert sorted(map(tuple, watch.drop_repeats(finite).collect())) == sorted(map(tuple, kept)) and {r.path for r in kept} == {"p0", "p1", "p2"}
+    for df, name in ((stream, "every"), (finite, None)):
+        once = watch.drop_repeats(df.selectExpr("path", "mtime", "at", "folder"), 2)
+        got = drain(once, name) if name else once.collect()
+        assert sorted((r.at - t0).seconds for r in got) == [0, 1, 2, 3, 10, 11, 700, 2000]
     batches = drain(watch.quiet_batches(stream, by="folder"), "batches")
     assert {(r.start, r.events) for r in batches} <= {(r.start, r.events) for r in watch.quiet_batches(finite, by="folder").collect()} and len(batches) >= 3
     seen = []
