@@ -214,15 +214,24 @@ def summary_of(text: str, labels: Sequence[str], most: int) -> str:
 # logs
 
 
+#: Fixed values of the log format: the forms in which a summary names a counter, the first that is found counting.
 KPI_PATTERNS = {
-    "total_pages": r"(?i)(\d+)\s*pages?\b", "missing_aliases": r"(?i)(\d+)\s*missing\s*alias(?:es)?", "duplicates": r"(?i)(\d+)\s*duplicates?", "dead_links": r"(?i)(\d+)\s*dead\s*links?",
-    "orphans": r"(?i)(\d+)\s*orphans?", "empty_pages": r"(?i)(\d+)\s*empty\s*(?:pages?|stubs?)", "unsourced": r"(?i)(\d+)\s*unsourced", "tag_violations": r"(?i)(\d+)\s*tag\s*violations?", "seconds": r"(?i)(\d+)\s*seconds?",
-}
+    "total_pages": (r"共\s*(\d+)\s*个页面", r"(?i)(\d+)\s*pages?\b"),
+    "missing_aliases": (r"(\d+)\s*个缺失别名", r"(?i)(\d+)\s*missing\s*alias(?:es)?", r"缺失别名\s*(\d+)"),
+    "duplicates": (r"重复\s*(\d+)", r"(?i)(\d+)\s*duplicates?"),
+    "dead_links": (r"断链\s*(\d+)", r"(?i)(\d+)\s*dead\s*links?"),
+    "orphans": (r"孤立\s*(\d+)", r"(?i)(\d+)\s*orphans?"),
+    "empty_pages": (r"空洞\s*(\d+)", r"(?i)(\d+)\s*empty\s*(?:pages?|stubs?)"),
+    "unsourced": (r"无来源引证\s*(\d+)", r"(?i)(\d+)\s*unsourced"),
+    "tag_violations": (r"标签越界\s*(\d+)", r"(?i)(\d+)\s*tag\s*violations?"),
+    "seconds": (r"耗时\s*(\d+)\s*秒", r"(?i)(\d+)\s*seconds?", r"(?i)(\d+)\s*s\s"),
+}
 
 
 def kpis(line: Column) -> Column:
     """The counters of a maintenance summary; null where a counter is not named."""
-    return F.struct(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")).cast("int").alias(k) for k, p in KPI_PATTERNS.items()])
+    found = lambda forms: F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in forms])
+    return F.struct(*[found(forms).cast("int").alias(k) for k, forms in KPI_PATTERNS.items()])
 
 
 def operation_kind(title: Column, quoted_pages: Column) -> Column:
@@ -279,10 +288,10 @@ def reasoning(text: Column) -> Column:
 
 
 def cleaned_reply(text: Column) -> Column:
-    """Reasoning, an outer fence and what precedes the first heading are dropped."""
-    bare = F.trim(strip_reasoning(text))
-    inner = F.regexp_replace(bare, r"(?s)^```[A-Za-z]*\n(.*)\n```\s*$", "$1")
-    return F.trim(F.when(inner.rlike(r"(?m)^#{1,6}\s") & ~inner.startswith("---"), F.regexp_replace(inner, r"(?s)\A.*?(?=^#{1,6}\s)".replace("(?s)", "(?sm)"), "")).otherwise(inner))
+    """Reasoning, an outer fence and what precedes the first heading are dropped, and space at both ends."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(trimmed(strip_reasoning(text)), r"(?s)\A```[A-Za-z]*\n(.*)\n```\z", "$1")
+    return trimmed(F.when(inner.rlike(r"(?m)^#{1,6}\s") & ~inner.startswith("---"), F.regexp_replace(inner, r"(?sm)\A.*?(?=^#{1,6}\s)", "")).otherwise(inner))
 
 
 def salvage_json(text: str | None) -> tuple[str, dict | None]:

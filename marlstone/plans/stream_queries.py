@@ -33,9 +33,13 @@ def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("folder", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "events", "paths")
 
 
-@query("debounce_capped")
+@query("debounce_capped", """WITH RECURSIVE e AS (SELECT event_type, user_id, ts, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, user_id::VARCHAR) AS place FROM events),
+r AS (SELECT event_type, user_id, ts, t, place, 0 AS batch, t AS first FROM e WHERE place = 1
+  UNION ALL SELECT e.event_type, e.user_id, e.ts, e.t, e.place, CASE WHEN e.t >= least(r.t + 600000, first + 3600000) THEN batch + 1 ELSE batch END, CASE WHEN e.t >= least(r.t + 600000, first + 3600000) THEN e.t ELSE first END
+  FROM r JOIN e ON e.event_type = r.event_type AND e.place = r.place + 1)
+SELECT event_type AS folder, batch, user_id::VARCHAR AS path, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS at FROM r GROUP BY ALL""")
 def debounce_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return watch.capped_batches(_events(spark, sf), "folder", 600, 3600)
+    return watch.capped_batches(_events(spark, sf), "folder", 600, 3600).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("self_write_suppression", """SELECT event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events w WHERE w.event_type = 'purchase' AND w.user_id = e.user_id AND e.ts >= w.ts AND e.ts <= w.ts + INTERVAL 7200 SECOND)""")

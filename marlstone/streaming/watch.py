@@ -99,14 +99,29 @@ def capped_runs(times: list[int], quiet: int, longest: int) -> list[int]:
 
 
 def capped_batches(events: DataFrame, group: str, quiet: int = QUIET_SECONDS, longest: int = LONGEST_SECONDS) -> DataFrame:
-    """(group, batch, path, at): the last event of each path in each capped batch of a group; a finite relation."""
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "path"])
-        rows["batch"] = capped_runs((rows["at"].astype("int64") // (10 ** 6 if str(rows["at"].dtype).endswith("ns]") else 1000)).tolist(), 1000 * quiet, 1000 * longest)
-        return rows.groupby(["grp", "batch", "path"], as_index=False)["at"].max()[["grp", "batch", "path", "at"]]
-
-    rows = events.select(F.col(group).cast("string").alias("grp"), F.col("path").cast("string").alias("path"), "at")
-    return rows.groupBy("grp").applyInPandas(fold, "grp string, batch int, path string, at timestamp").withColumnRenamed("grp", group)
+    """(group, batch, path, at): the last event of each path in each capped batch of a group; a finite relation.
+
+    Each group is folded in order, one event at a time; none is held in memory.
+    """
+    rows = events.select(F.col(group).cast("string").alias("grp"), F.col("path").cast("string").alias("path"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    dealt = rows.withColumn("hash", F.xxhash64("grp")).repartition("grp").sortWithinPartitions("hash", "grp", "at", "path")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, seen, batch_no, first, last = None, False, -1, 0, 0
+        for batch in batches:
+            numbers = []
+            for now, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                t = at // 1000
+                if not seen or now != grp:
+                    grp, seen, batch_no, first = now, True, 0, t
+                elif t >= min(last + 1000 * quiet, first + 1000 * longest):
+                    batch_no, first = batch_no + 1, t
+                last = t
+                numbers.append(batch_no)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32()), batch.column(1), batch.column(2)], ["grp", "batch", "path", "at"])
+
+    numbered = dealt.mapInArrow(fold, "grp string, batch int, path string, at long")
+    return numbered.groupBy("grp", "batch", "path").agg(F.timestamp_micros(F.max("at")).alias("at")).withColumnRenamed("grp", group)
 
 
 class CappedDebounce(StatefulProcessor):
