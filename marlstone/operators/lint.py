@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import body_hash, link_reduced, normalize_quote, normalize_statement
 
 LINK = r"\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]"
+#: Fixed values of the page format.
 STUB_MARK = "Auto-generated stub page"
 MARKUP = r"[#*\-_>\s\[\]|—]"
 LEAST_SUBSTANCE = 50

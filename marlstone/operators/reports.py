@@ -12,7 +12,7 @@ from marlstone.functions.text import slug
 from marlstone.operators import evaluation, retrieval
 from marlstone.operators.corpus import FIELDS
 
-#: What a report section is about, by its heading; the first that fits.
+#: Fixed values of the report format: what a section is about, by its heading; the first that fits.
 SECTION_KINDS = (
     ("llmAnalysis", r"(?i)LLM\s*(分析|Analysis)"), ("tagViolation", r"(?i)标签越界|tag\s*(violations?|issues?)"), ("orphan", r"(?i)孤立页面?|orphan"), ("empty", r"(?i)空洞页面?|empty\s*(pages?|stubs?)"),
     ("duplicate", r"(?i)重复|duplicate"), ("deadLinks", r"(?i)断链|dead\s*links?"),
