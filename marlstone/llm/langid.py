@@ -284,4 +284,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 600, **how) -> Model:
-    return fit(sample_labelled(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col, train_docs=train_docs), **how)
+    model = fit(sample_labelled(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col, train_docs=train_docs), **how)
+    give_back()
+    return model

@@ -469,17 +469,14 @@ def components_similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return labels
 
 
-def verified_stars(members: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle_words: int, similarity: float, shard_bytes: int, broadcast_rows: int) -> DataFrame:
+def verified_stars(members: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle_words: int, similarity: float, broadcast_rows: int) -> DataFrame:
     """(src, dst): links that join the same of members as all pairs of a component with the similarity do.
 
-    members is (rep, component, n): the id of a row of docs, its candidate component and its number of distinct shingles.
+    members is (rep, component, shards): the id of a row of docs, its candidate component and the shards that this is cut into.
     """
-    weight = 8 * F.col("n") + 1024
-    shards = members.groupBy("component").agg(F.ceil(F.sum(weight) / shard_bytes).cast("int").alias("shards"))
-    sized = members.join(shards, "component").select("rep", "component", "shards")
     few = members.count() <= broadcast_rows
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(sized) if few else sized, "rep").select("rep", "component", "shards", "text")
+    chosen = texts.join(F.broadcast(members) if few else members, "rep").select("rep", "component", "shards", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -541,9 +538,10 @@ def similar_groups(
     labels = component_labels(nodes, stars).select("fp", F.col("rep").alias("linked"))
     known = nodes.withColumnRenamed("rep", "own").join(labels, "fp", "left").select("fp", F.coalesce("linked", "own").alias("component"))
     placed = materialize(sets.join(known, "fp").select("rep", "component", "n"), "simhash-placed")
-    several = placed.groupBy("component").count().where("count > 1").select("component")
-    members = materialize(placed.join(several, "component", "left_semi"), "simhash-members")
-    links = verified_stars(members, docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, shard_bytes=shard_bytes, broadcast_rows=broadcast_rows)
+    several = placed.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.sum(8 * F.col("n") + 1024) / shard_bytes).cast("int").alias("shards")).where("members > 1")
+    members = join_classes(placed, several, ["component"], "members", placed.count()).where("shards IS NOT NULL")
+    members = materialize(members.select("rep", "component", "shards"), "simhash-members")
+    links = verified_stars(members, docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity, broadcast_rows=broadcast_rows)
     joined = component_labels(members.select(F.col("rep").alias("fp"), "rep"), links).select(F.col("fp").alias("of"), F.col("rep").alias("linked"))
     final = materialize(sets.join(joined, F.col("rep") == F.col("of"), "left").select("key", "rows", F.coalesce("linked", "rep").alias("component_id")), "simhash-final")
     return join_classes(prints, final, ["key"], "rows", prints.count()).select("doc_id", "key", "component_id")

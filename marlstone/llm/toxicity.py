@@ -400,7 +400,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = sample_labelled(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, train_docs=train_docs)
     if len({label for _, label in rows}) < 2:
         return None
-    return fit([t for t, _ in rows], [label for _, label in rows], **how)
+    model = fit([t for t, _ in rows], [label for _, label in rows], **how)
+    give_back()
+    return model
 
 
 def score(
