@@ -225,7 +225,7 @@ def identify(
         text_col = "text"
     new = [lang_col, score_col, spans_col]
     keep = [c for c in keep if c not in new]
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     kinds_of = dict(docs.dtypes)
     named = [*keep, *([] if text_col in keep else [text_col])]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(named)])  # mapInArrow takes no names with dots

@@ -122,7 +122,7 @@ def _type(lanes: int) -> str:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, lanes: int = 1) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text, a signed 64-bit integer or the bytes of several."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +423,7 @@ def set_prints(docs: DataFrame, *, id_col: str, text_col: str, shingle_words: in
     """(doc_id, fp, key, n): the fingerprint of each text's distinct shingles, a 128-bit digest of them and their number."""
     from xxhash import xxh3_128_digest
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -415,7 +415,7 @@ def score(
     keep = [c for c in keep if c != score_col]
     if net is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias(score_col))
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     kinds_of = dict(docs.dtypes)
     named = [*keep, *([] if text_col in keep else [text_col])]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(named)])  # mapInArrow takes no names with dots
