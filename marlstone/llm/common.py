@@ -88,6 +88,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], n: st
 
     classes has one row for each key, its column n the number of its rows. Classes of more than a 1/most part of the total
     rows, fewer than most, are broadcast; their rows are spread over the tasks of the join with the others.
+    The other side's salt is computed from n: a literal would be folded into the join's condition, which leaves rows dealt by the keys alone.
     """
     values = [c for c in classes.columns if c not in (*keys, n)]
     taken = [*rows.columns, *classes.columns]
@@ -97,7 +98,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], n: st
     large = F.col(n) * most > total
     named = lambda df, ks, vs: [*(F.col(a).alias(b) for a, b in zip(keys, ks)), *(F.col(a).alias(b) for a, b in zip(values, vs))]
     hot = classes.where(large).select(*named(classes, hot_keys, hot_values), F.lit(True).alias(found))
-    rest = classes.where(~large).select(*named(classes, rest_keys, rest_values), F.lit(0).cast("long").alias(other))
+    rest = classes.where(~large).select(*named(classes, rest_keys, rest_values), F.pmod(F.col(n).cast("long"), F.lit(1).cast("long")).alias(other))
     on = lambda ks: [F.col(a) == F.col(b) for a, b in zip(keys, ks)]
     spread = F.when(F.col(found), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(F.lit(0)).cast("long")
     met = rows.join(F.broadcast(hot), on(hot_keys), "left").withColumn(salt, spread)
