@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontam, langid, simhash, toxicity
-from marlstone.llm.common import fresh, shared_dir, table
+from marlstone.llm.common import fresh, materialize, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,9 +58,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): the token ids of each remaining document, and the text decoded from them."""
+    """(doc_id, n_tokens, ids, decoded): the token ids of each remaining document, and the text decoded from them.
+
+    The ids are written before they are decoded, so that no task runs two Python workers at once.
+    """
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    coded = bpe.decode(materialize(bpe.encode(docs, tokenizer), "bpe-ids"), tokenizer)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
