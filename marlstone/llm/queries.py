@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, cdc, chat, decontam, langid, maintext, sharding, simhash, toxicity, urlfilter
+from marlstone.llm import bpe, cdc, chat, decontam, fim, langid, maintext, sharding, simhash, suffixdedup, toxicity, urlfilter, whitening
 from marlstone.llm.common import table
 
 
@@ -65,9 +65,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.rearrange(table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op7_maintext": op7_maintext, "op8_shards": op8_shards, "op9_leaks": op9_leaks, "op10_langid": op10_langid}
+    return {"op1_chat": op1_chat, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op7_maintext": op7_maintext, "op8_shards": op8_shards, "op9_leaks": op9_leaks, "op10_langid": op10_langid, "op11_whitening": op11_whitening, "op12_fim": op12_fim, "op13_suffixes": op13_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.chat_sql(), "op5_urls": urlfilter.url_filter_sql(), "op9_leaks": decontam.overlaps_sql()}
+    return {"op1_chat": chat.chat_sql(), "op5_urls": urlfilter.url_filter_sql(), "op9_leaks": decontam.overlaps_sql(), "op12_fim": fim.fim_sql()}
