@@ -2,7 +2,10 @@
 
 The markup is read into a tree.  Subtrees that are no article text by their element,
 role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts, styles, hidden parts) are left out.  Every block of text passes
+comments, scripts, styles, hidden parts) are left out.  A form, and an element with a layout word (a sidebar, sharing,
+adverts) in its class or id, is in doubt: it stays if it holds an article or main element, or two thirds of the
+page's text outside links; a half is enough for a form, or beside a word of article bodies.  A word with its state behind it (`share-enabled`, `ad-free`) says nothing.  If no text is left, layout words alone
+leave nothing out, and what then scores is kept.  Every block of text passes
 points for itself, its length and its commas to its ancestors, fully to the
 nearest container, half to the next, less to those above; points are discounted by the share
 of linked text.  The container with most points leads to what is kept.  Inside an article
@@ -20,7 +23,7 @@ to the page, however deep its elements lie and however many tags and quotes stay
 Of containers with equal points the first leads.
 
 Defined results.  Null and empty pages and pages without text give the empty string.
-Where no container scores, all text outside left-out parts is kept.  Text without
+Where no container scores, all text outside left-out parts is kept, but nothing of what only layout words had left out.  Text without
 markup is kept whole.  Unclosed, unopened and crossing tags are accepted: a close tag
 closes the innermost open element of its name, a new block closes an open paragraph,
 the end of the page closes all.  Repeated rows are extracted each.
@@ -53,16 +56,20 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, roles and words of classes and ids that mark no article text.
-LEFT_OUT = frozenset("head nav header footer aside form menu dialog button select option fieldset svg math canvas audio video object applet".split())
+LEFT_OUT = frozenset("head nav header footer aside menu dialog button select option fieldset svg math canvas audio video object applet".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 LEFT_OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "disqus footer foot gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination "
-    "popup promo promotion recommended related replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription "
-    "toolbar topbar widget widgets".split()
+    "breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer foot gdpr login masthead menu menus modal nav navbar navigation "
+    "overlay pager pagination popup replies reply respond signup skip".split()
+)
+#: Words that also stand on wrappers of articles, for what lies beside the text.
+LAYOUT_PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners header hidden newsletter notice notices notification promo promotion recommended related "
+    "share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
 )
 BODY_WORDS = frozenset("article body content entry main page post story text".split())
 LAYOUT_WORDS = frozenset("has no with without".split())
+STATE_WORDS = frozenset("closed disabled enabled free off on open".split())
 NEVER_LEFT_OUT = frozenset("html body main article".split())
 #: What an element or a word of its class is worth before any text is seen.
 PRIOR = {"article": 25.0, "main": 15.0, "div": 2.0, "section": 2.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -3.0, "tr": -3.0, "tbody": -3.0, "blockquote": -2.0, "body": -5.0, "html": -10.0}
@@ -73,39 +80,63 @@ SIBLING_SHARE, LINKED_SHARE = 0.2, 0.5
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: Why an element may be left out: it is in doubt, a layout word says so, or it always is.
+DOUBT, LAYOUT, ALWAYS = 1, 2, 3
+#: The share of the page's text outside links with which an element stays all the same.
+HELD_SHARE = {DOUBT: 1 / 2, LAYOUT: 2 / 3}
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "out", "score", "length", "linked", "order", "kept", "marked")
+    __slots__ = ("tag", "parent", "out", "why", "score", "length", "linked", "order", "kept", "marked", "holds")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, score: float, order: int):
-        self.tag, self.parent, self.out, self.score, self.order = tag, parent, out, score, order
+    def __init__(self, tag: str, parent: _Node | None, out: bool, score: float, order: int, why: int = 0, holds: bool = False):
+        self.tag, self.parent, self.out, self.score, self.order, self.why, self.holds = tag, parent, out, score, order, why, holds
         self.length = self.linked = 0
         self.kept = False
         self.marked = tag == "main" or score - PRIOR.get(tag, 0.0) >= 10.0  # as body, by element, class, id or role
 
 
-def _judge(tag: str, attributes: str) -> tuple[bool, float, bool]:
-    """(left out, prior points, whether the element is a link) by tag and attributes."""
-    out, prior = tag in LEFT_OUT, PRIOR.get(tag, 0.0)
+def _word_kinds(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id has a word that leaves out, a layout word, and a body word."""
+    never = layout = good = False
+    for one in value.split():
+        words = [w.lower() for w in _WORD.findall(one)]
+        told = [w for k, w in enumerate(words) if not (k and words[k - 1] in LAYOUT_WORDS) and not (k + 1 < len(words) and words[k + 1] in STATE_WORDS)]
+        body = any(w in BODY_WORDS for w in words)
+        if not (body and words[-1] == "header"):  # an article's own header has its title
+            bad, beside = any(w in LEFT_OUT_WORDS for w in told), any(w in LAYOUT_PARTS for w in told)
+            never, layout = never or bad, layout or beside
+            good = good or (body and not bad)
+    return never, layout, good
+
+
+def _judge(tag: str, attributes: str) -> tuple[int, float, bool, bool]:
+    """(why it may be left out, prior points, whether it is a link, whether it is an article or main element by all it says)."""
+    why, prior, whole = ALWAYS if tag in LEFT_OUT else DOUBT if tag == "form" else 0, PRIOR.get(tag, 0.0), tag in ("article", "main")
     if not attributes or attributes.isspace() or attributes == "/":
-        return out, prior, tag == "a"
+        return why, prior, tag == "a", whole
+    never = layout = good = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = values[0] or values[1] or values[2]
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            out = out or tag not in NEVER_LEFT_OUT
+            why = ALWAYS
         elif name == "role":
-            out = out or (value.lower() in LEFT_OUT_ROLES and tag not in NEVER_LEFT_OUT)
-            prior += 15.0 * (value.lower() in ("main", "article"))
-        elif name in ("class", "id") and tag not in NEVER_LEFT_OUT:
-            for one in value.split():
-                words = [w.lower() for w in _WORD.findall(one)]
-                bad = any(w in LEFT_OUT_WORDS and not (k and words[k - 1] in LAYOUT_WORDS) for k, w in enumerate(words))
-                good = any(w in BODY_WORDS for w in words)
-                if bad and not (good and words[-1] == "header"):  # an article's own header has its title
-                    out = True
-                elif good and not bad:
-                    prior += 10.0
-    return out, prior, tag == "a"
+            why = ALWAYS if value.lower() in LEFT_OUT_ROLES else why
+            if value.lower() in ("main", "article"):
+                prior, whole = prior + 15.0, True
+        elif name in ("class", "id"):
+            n, p, g = _word_kinds(value)
+            never, layout, good = never or n, layout or p, good or g
+    if tag in NEVER_LEFT_OUT:
+        return 0, prior, False, whole and not never
+    if never:
+        why = ALWAYS
+    elif layout:
+        why = max(why, DOUBT if good else LAYOUT)
+    elif good:
+        prior += 10.0
+    return why, prior, tag == "a", whole and not (never or layout)
 
 
 def _tag_ends(html: str) -> list[int]:
@@ -169,8 +200,8 @@ class _Stack:
         return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
 
 
-def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """The block elements in page order, and the blocks of text outside left-out parts with their element."""
+def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The block elements in page order, and the blocks of text that are not always left out, with their element and linked characters."""
     root = _Node("html", None, False, PRIOR["html"], 0)
     nodes, blocks, stack = [root], [], _Stack(root)
     pieces: list[str] = []
@@ -185,9 +216,7 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                 node = stack.top()
                 while node.tag in INLINE and node.parent is not None:
                     node = node.parent
-                blocks.append((node, text))
-                share = min(len(text), linked[0])
-                _pass_points(node, text, share)
+                blocks.append((node, text, min(len(text), linked[0])))
         linked[0] = 0
 
     def say(raw: str) -> None:
@@ -224,18 +253,18 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                     flush()
                 stack.cut(k)
             continue
-        out, prior, link = _judge(tag, attributes)
+        why, prior, link, holds = _judge(tag, attributes)
         links += link
         if inline:
-            if out and not stack.top().out:  # kept on the stack only to find its end
+            if why and not stack.top().out:  # kept on the stack only to find its end
                 stack.push(_Node(tag, stack.top(), True, 0.0, 0))
             elif stack.top().out and stack.top().tag == tag:
                 stack.push(_Node(tag, stack.top(), True, 0.0, 0))
             continue
         flush()
         links = 0
-        if tag == "header" and out and not attributes.strip() and stack.last(("article", "main")):
-            out = False  # an article's own header has its title
+        if tag == "header" and why and not attributes.strip() and stack.last(("article", "main")):
+            why = 0  # an article's own header has its title
         while len(stack.items) > 1 and stack.top().tag in INLINE and not stack.top().out:
             stack.cut(len(stack.items) - 1)
         if len(stack.items) > 1 and (stack.top().tag == "p" or (stack.top().tag in HEADINGS and tag in HEADINGS | {"p"})):
@@ -248,17 +277,41 @@ def _read(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             stack.cut(1)
             if tag == "html":
                 continue
-        node = _Node(tag, stack.top(), out or stack.top().out, prior, len(nodes))
+        node = _Node(tag, stack.top(), why == ALWAYS or stack.top().out, prior, len(nodes), why, holds)
         nodes.append(node)
         stack.push(node)
     if at < len(html):
         say(html[at:])
     flush()
+    return nodes, blocks
+
+
+def _leave_out(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], words: bool) -> None:
+    """Mark what is left out: elements in doubt or, with words, with a layout word, that hold no article and too little of the text outside links."""
+    own: dict[int, int] = defaultdict(int)
+    for node, text, linked in blocks:
+        own[id(node)] += len(text) - linked
+    total, holds = sum(own.values()), {id(n) for n in nodes if n.holds and not n.out}
     for n in reversed(nodes):  # parents stand before their children
+        if n.parent is not None:
+            own[id(n.parent)] += own[id(n)]
+            if id(n) in holds:
+                holds.add(id(n.parent))
+    for n in nodes[1:]:
+        share = HELD_SHARE.get(n.why, 0.0) if words or n.why == DOUBT else 0.0
+        n.out = n.out or n.parent.out or (share > 0 and id(n) not in holds and (own[id(n)] < share * total or not total))
+
+
+def _scored(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str]]:
+    """Points and lengths of the blocks that are not left out; these blocks."""
+    inside = [b for b in blocks if not b[0].out]
+    for node, text, linked in inside:
+        _pass_points(node, text, linked)
+    for n in reversed(nodes):
         if n.parent is not None:
             n.parent.length += n.length
             n.parent.linked += n.linked
-    return nodes, blocks
+    return [(node, text) for node, text, _ in inside]
 
 
 def _pass_points(node: _Node, text: str, linked: int) -> None:
@@ -300,7 +353,13 @@ def _home(best: _Node, nodes: list[_Node]) -> tuple[_Node, set[_Node]]:
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    nodes, blocks = _read(html or "")
+    nodes, read = _read(html or "")
+    _leave_out(nodes, read, words=True)
+    blocks, whole = _scored(nodes, read), True
+    if not blocks and read:
+        nodes, read = _read(html or "")
+        _leave_out(nodes, read, words=False)
+        blocks, whole = _scored(nodes, read), False
     if not blocks:
         return ""
 
@@ -309,7 +368,7 @@ def main_text(html: str | None) -> str:
 
     best = max((n for n in nodes if n.tag not in PARAGRAPHS and n.length and not n.out), key=lambda n: (worth(n), -n.order), default=None)
     if best is None or worth(best) <= 0:
-        return " ".join(t for _, t in blocks)
+        return " ".join(t for _, t in blocks) if whole else ""
     best, path = _home(best, nodes)
     best.kept = not path
     least = max(3.0, SIBLING_SHARE * worth(best)) if best.tag in ("article", "main") else 3.0

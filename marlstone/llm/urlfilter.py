@@ -18,7 +18,8 @@ of all pages is one row there; its pages get their verdict by a bounded broadcas
 Equal trust and distrust, and neither, allow.
 
 Defined results.  A null url or one without `://` has an empty host and path, fits
-no rule, takes no part in the graph and is allowed.  Null html has no links.
+no rule, takes no part in the graph and is allowed.  Null html has no links.  An anchor's tag ends at
+the next `>` or `<`, so the work grows in proportion to a page of any form; long urls are read whole.
 Repeated rows are judged each.  An empty table gives no rows.
 """
 
@@ -34,8 +35,8 @@ from marlstone.llm.common import join_classes, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.0
-#: A host is cut from an absolute or scheme-relative link of an anchor.
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
+#: A host is cut from an absolute or scheme-relative link of an anchor. A tag ends at the next < too, so that open tags are not read twice.
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
 
 @dataclass(frozen=True)

@@ -56,6 +56,34 @@ def test_short_container_beside_a_long_one_without_marks():
     assert main_text(html).count(LONG) == 62
 
 
+TEXT = f"{LONG} " * 18
+WRAPPERS = [
+    'div class="content-sidebar-wrap"', 'div class="post share-enabled"', 'div class="article-content social"', 'div class="content sidebar-right"', 'div class="post-content related-posts-on"',
+    'div class="main-column ad-free"', 'div class="story hidden-print"', 'div class="article widget-area"', 'div id="main-content-ads-free"', 'form id="aspnetForm"', 'div class="post comments-open"', 'div class="sidebar-layout"', 'div class="page widget" id="banner"',
+]
+BESIDE = (
+    '<nav><a href="/">Home</a></nav><div class="menu main-menu"><p>Menu menu menu</p></div><div class="content-ad"><p>Buy this.</p></div><div class="sidebar"><p>Aside.</p></div><div class="sidebar-content"><p>More aside.</p></div>'
+    f'<form><p>Sign up here.</p></form><div class="post-comments"><p>{LONG}</p><p>{LONG}</p></div><ol class="comments"><li><article class="comment-body"><p>{LONG}</p></article></li></ol><div class="related-posts"><p>Read on.</p></div>'
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["", "main article", "article"])
+def test_words_of_wrappers_lose_no_article(wrapper, inner):
+    opened, closed = "".join(f"<{t}>" for t in inner.split()), "".join(f"</{t}>" for t in reversed(inner.split()))
+    article = f"<h1>Head</h1><p>{TEXT}</p><p>{LONG}</p>"
+    html = f"<body><header>Site</header><{wrapper}>{opened}{article}{closed}</{wrapper.split()[0]}>{BESIDE}<footer>End</footer></body>"
+    assert main_text(html) == f"Head {TEXT}{LONG}"
+    within = f"<body><{wrapper}>{opened}{article}{BESIDE}{closed}</{wrapper.split()[0]}></body>"
+    assert main_text(within) == f"Head {TEXT}{LONG}"
+
+
+def test_nothing_but_what_is_left_out():
+    assert main_text(BESIDE.replace("article", "div").replace("form", "nav").replace("sidebar", "nav").replace("-ad", "-menu").replace("related", "menu")) == ""
+    assert main_text('<div class="widget"><a href="/">one</a> <a href="/">two</a></div><div class="comments"><p>Nice, all of it.</p></div>') == ""
+    assert main_text(f'<div class="widget"><p>{LONG}</p></div><div class="comments"><p>Nice, all of it.</p></div>') == LONG
+
+
 def test_very_long_and_deep_pages():
     many = "".join(f"<p>Paragraph {i}, of many.</p>" for i in range(20000))
     assert main_text(f"<article>{many}</article>").count("Paragraph") == 20000

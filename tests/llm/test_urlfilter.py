@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from marlstone.llm import urlfilter
@@ -62,3 +64,25 @@ def test_propagation_matches_brute_force(spark):
 def test_other_rules_and_empty_table(spark):
     assert run(spark, [(1, "http://a.b/c", None)], rules=[Rule("block", "b", "/c"), Rule("allow", "b", "")])[1].verdict == "block"
     assert run(spark, []) == {}
+
+
+def test_work_grows_with_the_page_only(spark):
+    """Open anchors without an end, as in a cut page: ten times the page costs about ten times."""
+
+    def took(html):
+        df = spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")
+        began = time.perf_counter()
+        rows = urlfilter.host_edges(df).collect()
+        return time.perf_counter() - began, rows
+
+    for piece in ("<a ", "<a href", "<a href=", "<a x='", "<a href=a:"):
+        took(piece * 100)
+        small, large = took(piece * 40_000), took(piece * 400_000 + '<a href="http://b.org/">')
+        assert large[0] < 25 * small[0] + 3, piece
+        assert [tuple(r) for r in large[1]] == [("a.org", "b.org", 1)]
+
+
+def test_very_long_urls(spark):
+    host = "a." * 100_000 + "net"
+    out = run(spark, [(1, f"http://{host}/fr/{'x' * 200_000}", None), (2, "://" * 100_000, None)])
+    assert (out[1].host, out[1].rule, out[1].verdict) == (host, "net/fr/", "block") and out[2].verdict == "allow"
