@@ -367,7 +367,7 @@ def main_text(html: str | None) -> str:
         return n.score * (1 - n.linked / n.length) if n.length else 0.0
 
     best = max((n for n in nodes if n.tag not in PARAGRAPHS and n.length and not n.out), key=lambda n: (worth(n), -n.order), default=None)
-    if best is None or worth(best) <= 0:
+    if best is None or worth(best) <= 0 or (not whole and best.linked > LINKED_SHARE * best.length):
         return " ".join(t for _, t in blocks) if whole else ""
     best, path = _home(best, nodes)
     best.kept = not path
