@@ -290,7 +290,7 @@ def _leave_out(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], words:
     """Mark what is left out: elements in doubt or, with words, with a layout word, that hold no article and too little of the text outside links."""
     own: dict[int, int] = defaultdict(int)
     for node, text, linked in blocks:
-        own[id(node)] += len(text) - linked
+        own[id(node)] += len(text) - linked if linked <= LINKED_SHARE * len(text) else 0
     total, holds = sum(own.values()), {id(n) for n in nodes if n.holds and not n.out}
     for n in reversed(nodes):  # parents stand before their children
         if n.parent is not None:
