@@ -9,7 +9,8 @@ How it is done.
    distinct keys of each block meet by key; keys of one document only fall out. A key of many blocks is hot.
 3. Runs of windows with one key that is not out become strings, each distinct one sent once a block, with the least
    doc_id that has it there. Hot keys are divided by the least hash of 40-byte grams.
-4. A bucket's strings are a collection. Its Burrows-Wheeler transform and common prefixes are built by columns: each
+4. A string that is the only one of its key, whatever the number of its copies, shares no window with another. The other strings of
+   a bucket are collections of whole keys. A collection's Burrows-Wheeler transform and common prefixes are built by columns: each
    round inserts one more symbol of every string, from the last to the first, and updates both sequences (`column_bwt`). Rows
    with a common prefix of a whole window are one passage; the least doc_id among them judges the others.
 5. One bit a window goes back to its block, which marks the bytes and cuts them out.
@@ -260,23 +261,25 @@ def _distinct(strings: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.nd
 
 
 def judge(strings: list[bytes], ids: np.ndarray, keys: np.ndarray, window: int, most: int, grams: tuple[int, ...]) -> np.ndarray:
-    """least_ids by collections of about `most` symbols that hold all strings of a key; a key with more is divided by longer grams."""
+    """least_ids by collections of about `most` symbols that hold all strings of a key; a key with more is divided by longer grams.
+
+    The strings are distinct; one that has its key alone shares no window and keeps its id.
+    """
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     windows = lengths - window + 1
     offset = np.cumsum(windows) - windows
-    out = np.empty(int(windows.sum()), np.int64)
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + 1 if len(order) else 0) != 0)
+    out = np.repeat(ids, windows)
+    _, of, members_of = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(of, kind="stable")
+    order = order[members_of[of[order]] > 1]
+    first = np.flatnonzero(np.diff(of[order], prepend=-1))
     group: list[np.ndarray] = []
     size = 0
 
     def settle(members: np.ndarray) -> None:
-        found, least, place = _distinct([strings[i] for i in members], ids[members])
-        n = np.fromiter(map(len, found), np.int64, len(found)) - window + 1
-        result = least_ids(found, least, window)
-        out[_ranges(offset[members], windows[members])] = result[_ranges((np.cumsum(n) - n)[place], n[place])]
+        out[_ranges(offset[members], windows[members])] = least_ids([strings[i] for i in members], ids[members], window)
 
-    for members in np.split(order, first[1:]):
+    for members in np.split(order, first[1:]) if len(order) else []:
         symbols = int(lengths[members].sum())
         if symbols > 4 * most and grams:
             parts, part_ids, part_keys, part_at = [], [], [], []
@@ -287,7 +290,13 @@ def judge(strings: list[bytes], ids: np.ndarray, keys: np.ndarray, window: int,
                 part_ids.append(np.full(len(s), ids[i]))
                 part_keys.append(k)
                 part_at.append(_ranges(offset[i] + s, n))
-            out[np.concatenate(part_at)] = judge(parts, np.concatenate(part_ids), np.concatenate(part_keys), window, most, grams[1:])
+            at = np.concatenate(part_at)
+            parts, least, place = _distinct(parts, np.concatenate(part_ids))
+            keys_of = np.empty(len(parts), np.uint64)
+            keys_of[place] = np.concatenate(part_keys)
+            n = np.fromiter(map(len, parts), np.int64, len(parts)) - window + 1
+            result = judge(parts, least, keys_of, window, most, grams[1:])
+            out[at] = result[_ranges((np.cumsum(n) - n)[place], n[place])]
             continue
         if size and size + symbols > most:
             settle(np.concatenate(group))
