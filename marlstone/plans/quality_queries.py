@@ -180,7 +180,7 @@ EVAL_SQL = rq.TOP_SQL.rstrip() + f", {TRUTH_SQL}"
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top_k(retrieval.bm25f(rq.terms(spark, sf), rq.questions(spark, sf), out_of_vocabulary=False), 20)
+    return retrieval.top_k(rq.index(spark, sf).search(rq.questions(spark, sf), out_of_vocabulary=False), 20)
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import body_hash, context_keywords, estimate_tokens, lexically_reliable, spaced_words, tokenize_query, word_grams
 from marlstone.operators import corpus, retrieval
+from marlstone.operators.termindex import FORMAT, TermIndex, kept
 from marlstone.plans.registry import load, query
+from marlstone.sources.versioned import Store
+from marlstone.sources.workspace import file_signature, shared_dir
 
+#: Buckets of the kept index.
+INDEX_BUCKETS = 16
 WORD = r"[\p{L}\p{N}\p{M}]+"
 FIELD_SQL = f"""
 page AS (SELECT doc_id AS path, array_to_string(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')[1:8], ' ') AS title,
@@ -50,6 +57,12 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.field_terms(pages(spark, sf))
 
 
+def index(spark: SparkSession, sf: str) -> TermIndex:
+    """The kept term index of the documents, made on first use and brought up to date when their files change."""
+    root = f"{shared_dir(spark)}/term-index/{FORMAT}-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return kept(TermIndex(Store(spark, root, INDEX_BUCKETS)), file_signature(spark, f"{sf}/documents.parquet"), pages(spark, sf))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     words = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(spaced_words(F.col("text"))).alias("pos", "term"))
     return retrieval.query_terms(words.withColumn("weight", F.lit(1.0)))
@@ -115,7 +128,7 @@ TOP_SQL = f"WITH {FIELD_SQL}, {QUESTION_SQL}, {score_sql('q', 's')}, {rank_sql('
 
 @query("bm25f_topk", TOP_SQL + "SELECT query_id, path, round(score, 6) AS score, found, rank FROM top")
 def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = retrieval.bm25f(terms(spark, sf), questions(spark, sf), out_of_vocabulary=False)
+    scored = index(spark, sf).search(questions(spark, sf), out_of_vocabulary=False)
     return retrieval.top_k(scored, 20).select("query_id", "path", F.round("score", 6).alias("score"), F.col("found").cast("long").alias("found"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -135,9 +148,9 @@ SELECT query_id, path, round(score, 6) AS score, rank FROM top""")
 def bm25f_oov_grams(spark: SparkSession, sf: str) -> DataFrame:
     made = F.transform(spaced_words(F.col("text")), lambda w: F.concat(F.lit("zz"), w, F.lit("qx")))
     asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(made).alias("term"), F.lit(1.0).alias("weight")).distinct()
-    t = terms(spark, sf)
-    unknown = asked.join(t.select(F.explode("terms").alias("term")).distinct(), "term", "left_anti")
-    return retrieval.top_k(retrieval.bm25f(t, unknown), 10).select("query_id", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    held = index(spark, sf)
+    unknown = asked.join(held.frequencies(asked), "term", "left_anti")
+    return retrieval.top_k(held.search(unknown), 10).select("query_id", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("name_tier_coverage", f"""WITH {FIELD_SQL}, {QUESTION_SQL},
@@ -146,7 +159,7 @@ t AS (SELECT query_id, sum(idf) AS total FROM k GROUP BY query_id),
 m AS (SELECT query_id, path, sum(idf) AS matched FROM k JOIN post p ON p.term = k.term AND field = 'title' GROUP BY query_id, path)
 SELECT m.query_id, path, round(matched / total, 6) AS coverage FROM m JOIN t ON m.query_id = t.query_id WHERE matched / total >= 0.25""")
 def name_tier_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    c = retrieval.name_coverage(terms(spark, sf), questions(spark, sf))
+    c = index(spark, sf).name_coverage(questions(spark, sf))
     return c.where("coverage >= 0.25").withColumn("coverage", F.round("coverage", 6))
 
 
@@ -219,7 +232,7 @@ EXPAND_SQL = f"WITH {FIELD_SQL}, {QUESTION_SQL}, {score_sql('q', 's1')}, {rank_s
 
 
 def _expanded(spark: SparkSession, sf: str, rounds: int, known_only: bool = False) -> DataFrame:
-    grown = retrieval.expand(terms(spark, sf), questions(spark, sf), pages_of=(5,) * rounds, words_of=(10,) * rounds, out_of_vocabulary=known_only)
+    grown = index(spark, sf).expand(questions(spark, sf), pages_of=(5,) * rounds, words_of=(10,) * rounds, out_of_vocabulary=known_only)
     return grown.select("query_id", "term")
 
 
@@ -265,7 +278,7 @@ g AS (SELECT cur.query_id, round(coalesce(coverage, 0), 6) AS coverage, coalesce
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
     asked = retrieval.history_query(load(spark, sf, "conversations")).select(F.col("conv_id").alias("query_id"), tokenize_query(F.regexp_replace("current", r"[^\p{L}\p{N}\p{M}]+", " ")).alias("tokens"))
     words = asked.select("query_id", F.explode("tokens").alias("term"))
-    cover = retrieval.name_coverage(terms(spark, sf), words).groupBy("query_id").agg(F.max("coverage").alias("coverage"), F.count("*").alias("hits"))
+    cover = index(spark, sf).name_coverage(words).groupBy("query_id").agg(F.max("coverage").alias("coverage"), F.count("*").alias("hits"))
     return asked.join(cover, "query_id", "left").select(
         "query_id", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), F.coalesce("hits", F.lit(0)).alias("hits"), lexically_reliable(F.col("tokens")).alias("reliable")
     )
@@ -288,7 +301,7 @@ CHANNEL_SQL = TOP_SQL + """, ch AS (SELECT query_id, 0 AS channel, path AS key,
 
 
 def _channels(spark: SparkSession, sf: str) -> DataFrame:
-    scored = retrieval.bm25f(terms(spark, sf), questions(spark, sf), out_of_vocabulary=False)
+    scored = index(spark, sf).search(questions(spark, sf), out_of_vocabulary=False)
     lexical = retrieval.top_k(scored, 20).select("query_id", F.lit(0).alias("channel"), F.col("path").alias("key"), "rank")
     matched = retrieval.top_k(scored, 20, F.col("found").desc(), F.col("path")).select("query_id", F.lit(1).alias("channel"), F.col("path").alias("key"), "rank")
     return lexical.unionByName(matched)
@@ -333,7 +346,7 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM c)
 SELECT query_id, rank, path, cost, used::BIGINT AS used FROM r WHERE rank = 1 OR used <= 8192 - 512""")
 def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    top = retrieval.top_k(retrieval.bm25f(terms(spark, sf), questions(spark, sf), out_of_vocabulary=False), 20)
+    top = retrieval.top_k(index(spark, sf).search(questions(spark, sf), out_of_vocabulary=False), 20)
     costed = top.join(pages(spark, sf).select("path", estimate_tokens(F.col("text")).alias("cost")), "path").select("query_id", F.col("rank").cast("long").alias("rank"), "path", "cost")
     return retrieval.budget_prefix(costed, 8192, 512)
 
