@@ -50,7 +50,7 @@ END = 0xFF  # no byte of UTF-8
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 16
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def _squeezed(raw: bytes) -> bytes:
