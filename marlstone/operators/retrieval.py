@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import SPACED_RUN, WORD_CLASS, word_grams
+from marlstone.functions.text import SPACED_RUN, WORD_CLASS, windows, word_grams
 from marlstone.operators.corpus import FIELDS, WEIGHTS, corpus_statistics, term_frequencies
 from marlstone.sources.workspace import materialize
 
@@ -207,18 +207,26 @@ def keyword_ranking(pages: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def substring_hits(pages: DataFrame, text_col: str, needles: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """(*keep, word): which of the words, a relation with the one column word, lie anywhere in a page's text.
+    """(*keep, word): which of the words, a relation with the one column word, lie anywhere in a page's text; empty words lie nowhere.
 
-    Few words are looked for in each page; more meet the pages by their first three characters, shorter ones by all their characters.
+    A word of three or more characters is looked for where its rarest trigram lies: the trigrams of the texts are counted once, by
+    rows that have them, and each word waits at the one of its own that the fewest rows have. Shorter words wait at themselves. So a
+    text meets the words that share a rare piece with it, not all words, and not all words that begin alike.
     """
-    few = small(needles, 1000)
-    if few is not needles:
-        return pages.crossJoin(few).where(F.contains(text_col, F.col("word"))).select(*keep, "word")
-    size = lambda n: F.greatest(F.length(text_col) - n + 1, F.lit(0))
-    cut = lambda n: F.when(size(n) > 0, F.transform(F.sequence(F.lit(1), size(n)), lambda i: F.substring(F.col(text_col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    starts = pages.select(*keep, text_col, F.explode(F.array_distinct(F.concat(cut(1), cut(2), cut(3)))).alias("start"))
-    keyed = needles.where("word <> ''").select("word", F.left("word", F.lit(3)).alias("start"))
-    return starts.join(keyed, "start").where(F.contains(text_col, F.col("word"))).select(*keep, "word")
+    asked = materialize(needles.where("word <> ''").select("word").distinct(), "needles-asked")
+    sizes = [r.n for r in asked.select(F.least(F.char_length("word"), F.lit(3)).alias("n")).distinct().collect()]
+    own = asked.select("word", F.explode(F.array_distinct(F.when(F.char_length("word") >= 3, windows(F.col("word"), 3)).otherwise(F.array("word")))).alias("piece"))
+    wanted = materialize(own.select("piece").distinct(), "needles-pieces")
+    cut = F.array_distinct(F.concat(*(windows(F.col(text_col), n) for n in sizes or [3])))
+    held = pages.select(*keep, text_col, F.explode(cut).alias("piece")).join(small(wanted), "piece", "left_semi").select(*keep, "piece")
+    held = materialize(held, "needles-held")
+    counts = held.groupBy("piece").agg(F.count("*").alias("rows"))
+    # a piece that no row has answers its word at once: no row has it
+    known = own.join(counts, "piece", "left")
+    rarest = known.groupBy("word").agg(F.min_by("piece", F.struct(F.coalesce("rows", F.lit(0)), "piece")).alias("piece"), F.min(F.coalesce("rows", F.lit(0))).alias("rows")).where("rows > 0")
+    waiting = rarest.groupBy("piece").agg(F.collect_list("word").alias("words"))
+    met = held.join(waiting, "piece").groupBy(*keep).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    return pages.select(*keep, text_col).join(met, list(keep)).select(*keep, F.explode(F.filter("words", lambda w: F.contains(F.col(text_col), w))).alias("word"))
 
 
 def candidate_window(pages: DataFrame, keywords: DataFrame, context: DataFrame, *, k: int = 30, df_cap: float = 0.5, text_chars: int = 2000) -> DataFrame:

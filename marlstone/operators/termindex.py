@@ -12,6 +12,7 @@ the same, without a look at the pages, and else brings it up to date from the pa
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -25,7 +26,7 @@ from marlstone.sources.versioned import Relation, Store, changed
 from marlstone.sources.workspace import materialize
 
 #: Raised when the rows or the way words are cut change: an index of another format is another index.
-FORMAT = 3
+FORMAT = 5
 COUNTS, LENGTHS = [f"tf_{f}" for f in FIELDS], [f"len_{f}" for f in FIELDS]
 
 
@@ -48,7 +49,7 @@ class TermIndex:
 
     @property
     def _posting(self) -> str:
-        return f"term string, path {self.path_type}, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} int" for c in LENGTHS])
+        return f"term string, path {self.path_type}, " + ", ".join([f"{c} int" for c in COUNTS] + [f"{c} int" for c in LENGTHS])
 
     @property
     def by_term(self) -> Relation:
@@ -111,11 +112,12 @@ class TermIndex:
         """
         store = self.store
         before = store.last()
-        fresh = self._cut(pages)
+        folder = uuid.uuid4().hex
+        fresh = materialize(self._cut(pages), "index-cut")
         now = fresh.groupBy(*self.pages.names).agg(F.count("*").alias("n"))
         if before is None:
             differ = materialize(now, "index-pages")
-            delta = materialize(self._postings(fresh).withColumn("n", F.lit(1)), "index-delta")
+            delta = store.write(self.by_page, self._postings(fresh).withColumn("n", F.lit(1)), folder, placed=True)
             words = delta.select("path", "term", "n").distinct()
         else:
             touched = None if whole else now.select("path") if gone is None else now.select("path").unionByName(gone.select("path"))
@@ -123,7 +125,7 @@ class TermIndex:
             paths = materialize(differ.select("path").distinct(), "index-paths")
             old = materialize(store.read(self.by_page, paths), "index-old")
             new = materialize(self._postings(fresh.join(paths, "path", "left_semi")).withColumn("n", F.lit(1)), "index-new")
-            delta = materialize(changed(old, new, self.by_page.names), "index-delta")
+            delta = store.write(self.by_page, changed(old, new, self.by_page.names), folder)
             words = changed(old.select("path", "term", F.lit(1).alias("n")).distinct(), new.select("path", "term", "n").distinct(), ["path", "term"])
         df = materialize(words.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0"), "index-df")
         named = delta.where("tf_title + tf_alias > 0").groupBy("term", "path").agg(F.sum("n").alias("n")).where("n <> 0")
@@ -138,8 +140,8 @@ class TermIndex:
         moved = list(differ.agg(F.coalesce(F.sum("n"), F.lit(0)), *sums).first())
         said = before or {"pages": 0, "fields": {}}
         fields = {f: [a + b for a, b in zip(said["fields"].get(f, (0, 0)), moved[1 + 2 * k : 3 + 2 * k])] for k, f in enumerate(FIELDS)}
-        changes = {self.by_term: delta, self.by_page: delta, self.names: named, self.terms: df, self.grams: grams, self.pages: differ}
-        store.commit(changes, {"signature": signature, "pages": said["pages"] + moved[0], "fields": fields})
+        changes = {self.by_term: delta, self.by_page: None, self.names: named, self.terms: df, self.grams: grams, self.pages: differ}
+        store.commit(changes, {"signature": signature, "pages": said["pages"] + moved[0], "fields": fields}, folder)
         return self
 
     def _cut(self, pages: DataFrame) -> DataFrame:
@@ -153,8 +155,8 @@ class TermIndex:
     def _postings(self, cut: DataFrame) -> DataFrame:
         of_field = lambda k: lambda w: F.struct(w.alias("term"), F.lit(k).alias("field"))
         tagged = F.concat(*(F.transform(f"words_{f}", of_field(k)) for k, f in enumerate(FIELDS)))
-        words = cut.select("path", *LENGTHS, F.inline(tagged))
-        counted = words.groupBy("term", "path", *LENGTHS).agg(*(F.count_if(F.col("field") == k).alias(c) for k, c in enumerate(COUNTS)))
+        words = cut.repartition(self.store.buckets, "path").select("path", *LENGTHS, F.inline(tagged))
+        counted = words.groupBy("term", "path", *LENGTHS).agg(*(F.count_if(F.col("field") == k).cast("int").alias(c) for k, c in enumerate(COUNTS)))
         return counted.select(*self.by_term.names)
 
     def _scores(self, held: DataFrame, word: str, df: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -170,7 +172,8 @@ class TermIndex:
         asked = materialize(queries.where("weight <> 0").select("query_id", "term", "weight"), "asked")
         df = materialize(self.frequencies(asked), "asked-df")
         known = self._scores(self.postings(asked), "term", df, weights)
-        scored = asked.join(known, "term").select("query_id", "path", (F.col("weight") * F.col("s")).alias("s"), F.lit(1).alias("hit"))
+        # postings are few beside their pairs with queries: dealt by page, they are summed where they meet
+        scored = known.repartition("path").join(retrieval.small(asked), "term").select("query_id", "path", (F.col("weight") * F.col("s")).alias("s"), F.lit(1).alias("hit"))
         if out_of_vocabulary:
             missing = materialize(asked.join(df, "term", "left_anti").withColumn("grams", word_grams(F.col("term"))).where(F.size("grams") >= 3), "asked-missing")
             if not missing.isEmpty():
@@ -183,7 +186,8 @@ class TermIndex:
         held = self.postings(words).join(words, "term").groupBy("path", "gram", *LENGTHS).agg(*(F.sum(c).alias(c) for c in COUNTS))
         held = materialize(held, "asked-grams")
         df = held.select("path", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-        backed = asked.join(self._scores(held, "gram", df, weights), "gram").groupBy("term", "path").agg(F.sum("s").alias("s"), F.count("*").alias("matched")).where("matched >= 2")
+        scores = self._scores(held, "gram", df, weights).repartition("path")
+        backed = scores.join(retrieval.small(asked), "gram").groupBy("term", "path").agg(F.sum("s").alias("s"), F.count("*").alias("matched")).where("matched >= 2")
         return missing.join(backed, "term").select("query_id", "path", (F.col("weight") * F.col("s") / F.size("grams")).alias("s"), F.lit(0).alias("hit"))
 
     def name_coverage(self, queries: DataFrame) -> DataFrame:

@@ -134,15 +134,15 @@ def merge_batches(items: DataFrame, cap: int | None = None) -> DataFrame:
 def convergence(batches: DataFrame, start: int = 20, least: int = LEAST_BATCH) -> DataFrame:
     """(source, batch, size, stop): the batch sizes of an extraction and where it stops.
 
-    batches is (source, batch, raw).  Under half of the asked yield halves the size once and stops the second time; an
-    empty batch stops at once.
+    batches is (source, batch, raw, new); without the column new, raw stands for it.  Under half of the asked yield halves the
+    size once and stops the second time; a batch with nothing in it, or nothing new, stops at once.
     """
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         size, halved, out = start, False, []
         for r in rows.sort_values("batch").itertuples():
-            stop = r.raw == 0
+            stop = r.raw == 0 or r.new == 0
             used = size
             if not stop and r.raw / size < 0.5 and size > least:
                 stop = halved
@@ -152,7 +152,8 @@ def convergence(batches: DataFrame, start: int = 20, least: int = LEAST_BATCH) -
                 break
         return pd.DataFrame(out, columns=["source", "batch", "size", "stop"])
 
-    return batches.groupBy("source").applyInPandas(fold, "source string, batch int, size int, stop boolean")
+    counted = batches.select("source", F.col("batch").cast("int").alias("batch"), "raw", F.col("new" if "new" in batches.columns else "raw").alias("new"))
+    return counted.groupBy("source").applyInPandas(fold, "source string, batch int, size int, stop boolean")
 
 
 def cumulative_stop(batches: DataFrame, most: int) -> DataFrame:

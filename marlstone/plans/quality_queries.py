@@ -131,18 +131,38 @@ def cumulative_limits(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.cumulative_stop(new, 30)
 
 
-@query("convergence_steps")
+def _step(part: str) -> str:
+    """A batch's size, whether it is the last, and what the next one starts with, from p.next and p.was of the batch before."""
+    low = "(o.raw > 0 AND o.fresh > 0 AND o.raw::DOUBLE / {n} < 0.5 AND {n} > 5)"
+    return f"{{n}} AS size, o.raw = 0 OR o.fresh = 0 OR ({low} AND {{w}}) AS stop, CASE WHEN {low} AND NOT {{w}} THEN greatest(5, {{n}} // 2) ELSE {{n}} END AS next, {{w}} OR {low} AS was".format(**dict(zip("nw", part.split())))
+
+
+CONVERGENCE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS source, datediff('day', DATE '2024-01-01', ts::DATE) AS batch, event_type FROM events),
+f AS (SELECT source, event_type, min(batch) AS batch FROM e GROUP BY ALL),
+b AS (SELECT source, batch, count(*) AS raw FROM e GROUP BY ALL), n AS (SELECT source, batch, count(*) AS fresh FROM f GROUP BY ALL),
+o AS (SELECT b.source, b.batch, raw, coalesce(fresh, 0) AS fresh, row_number() OVER (PARTITION BY b.source ORDER BY b.batch) AS place FROM b LEFT JOIN n ON n.source = b.source AND n.batch = b.batch),
+r AS (SELECT o.source, o.batch, o.place, {_step('20 FALSE')} FROM o WHERE place = 1
+  UNION ALL SELECT o.source, o.batch, o.place, {_step('r.next r.was')} FROM r JOIN o ON o.source = r.source AND o.place = r.place + 1 WHERE NOT r.stop)
+SELECT source, batch::INTEGER AS batch, size::INTEGER AS size, stop FROM r"""
+
+
+@query("convergence_steps", CONVERGENCE_SQL)
 def convergence_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Users are sources, days batches, events raw items."""
-    raw = load(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("source"), F.datediff("ts", F.lit("2024-01-01")).alias("batch")).agg(F.count("*").cast("int").alias("raw"))
-    return upkeep.convergence(raw)
+    """Users are sources, days batches, events raw items; a kind of event is new on the user's first day with it."""
+    e = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.datediff("ts", F.lit("2024-01-01")).alias("batch"), "event_type")
+    first = e.groupBy("source", "event_type").agg(F.min("batch").alias("batch")).groupBy("source", "batch").agg(F.count("*").cast("int").alias("new"))
+    raw = e.groupBy("source", "batch").agg(F.count("*").cast("int").alias("raw"))
+    return upkeep.convergence(raw.join(first, ["source", "batch"], "left").fillna(0, ["new"]))
 
 
-@query("batch_merge")
+@query("batch_merge", """WITH i AS (SELECT p_brand AS source, p_size AS batch, p_partkey AS pos, p_type AS name, p_name AS mention, min(p_size) OVER (PARTITION BY p_brand, lower(trim(p_type))) AS first FROM part),
+later AS (SELECT source, name, mention, min(struct_pack(b := batch, p := pos)) AS came FROM i WHERE batch > first GROUP BY ALL),
+kept AS (SELECT source, name, batch, mention, row_number() OVER (PARTITION BY source ORDER BY batch, pos) - 1 AS place FROM i WHERE batch = first)
+SELECT k.source, k.name, batch::INTEGER AS batch, concat_ws('|', k.mention, (SELECT string_agg(mention, '|' ORDER BY came) FROM later l WHERE l.source = k.source AND l.name = k.name AND l.mention <> k.mention)) AS mentions, place::INTEGER AS place FROM kept k""")
 def batch_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands are sources, sizes batches, part names items that their types mention."""
-    items = load(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_size").alias("batch"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array("p_type").alias("mentions"))
-    return upkeep.merge_batches(items, 50)
+    """Brands are sources, sizes batches, part types items that part names mention; types come again in later sizes."""
+    items = load(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_size").cast("int").alias("batch"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array("p_name").alias("mentions"))
+    return upkeep.merge_batches(items).withColumn("mentions", F.array_join("mentions", "|"))
 
 
 @query("kpi_delta_lag", """WITH d AS (SELECT event_type AS kind, ts::DATE AS day, round(sum(value), 4) AS kpi FROM events GROUP BY ALL), l AS (SELECT *, lag(kpi) OVER (PARTITION BY kind ORDER BY day) AS previous FROM d)

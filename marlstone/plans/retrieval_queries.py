@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,15 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("pages", *[F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in corpus.FIELDS])
 
 
+@query("index_kept", f"WITH {FIELD_SQL} SELECT n AS pages, round(avg_title, 6) AS avg_title, round(avg_alias, 6) AS avg_alias, round(avg_summary, 6) AS avg_summary, round(avg_text, 6) AS avg_text, (SELECT count(*) FROM df) AS terms FROM stats")
+def index_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What the kept index says of itself; makes it where it isn't there."""
+    held = index(spark, sf)
+    said = held.statistics()
+    means = [F.lit(round(float(said[f"avg_{f}"]), 6)).alias(f"avg_{f}") for f in corpus.FIELDS]
+    return held.frequencies().agg(F.count("*").alias("terms")).select(F.lit(said["pages"]).cast("long").alias("pages"), *means, "terms")
+
+
 @query("term_df", f"WITH {FIELD_SQL} SELECT term, df FROM df")
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.term_frequencies(corpus.postings(terms(spark, sf)))
@@ -123,6 +133,24 @@ def df_tail(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def changed_index(spark: SparkSession, sf: str) -> TermIndex:
+    """An index made of other pages and brought to the documents by changes: a third had another text, a fifth were missing, some others are gone."""
+    now = pages(spark, sf)
+    draw = F.pmod(F.col("path"), F.lit(15))
+    earlier = now.where(draw % 5 != 2).withColumn("text", F.when(draw % 3 == 1, F.concat_ws(" ", F.reverse("text"), F.lit("former words"))).otherwise(F.col("text")))
+    others = now.where(draw == 4).select((-1 - F.col("path")).alias("path"), "title", "aliases", "summary", F.lit("gone later").alias("text"), "source_slug")
+    store = Store(spark, f"{shared_dir(spark)}/term-index-changed-{uuid.uuid4().hex}", INDEX_BUCKETS)
+    made = TermIndex(store).update(earlier.unionByName(others), signature="earlier", whole=True)
+    some = now.where(draw % 5 == 2)
+    made.update(some, others.select("path"), signature="some")  # named changes first, the rest by comparison
+    return made.update(now, signature="now", whole=True)
+
+
+@query("index_df_after_changes", f"WITH {FIELD_SQL} SELECT term, df FROM df")
+def index_df_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return changed_index(spark, sf).frequencies()
+
+
 TOP_SQL = f"WITH {FIELD_SQL}, {QUESTION_SQL}, {score_sql('q', 's')}, {rank_sql('s', 'top', 20)} "
 
 
@@ -132,6 +160,12 @@ def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(scored, 20).select("query_id", "path", F.round("score", 6).alias("score"), F.col("found").cast("long").alias("found"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("index_topk_after_changes", TOP_SQL + "SELECT query_id, path, round(score, 6) AS score, found, rank FROM top")
+def index_topk_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    scored = changed_index(spark, sf).search(questions(spark, sf), out_of_vocabulary=False)
+    return retrieval.top_k(scored, 20).select("query_id", "path", F.round("score", 6).alias("score"), F.col("found").cast("long").alias("found"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("bm25f_oov_grams", rf"""WITH {FIELD_SQL}, {QUESTION_SQL.replace("unnest(regexp_extract_all(lower(text), '" + WORD + "')) AS term", "unnest(['zz' || w || 'qx' FOR w IN regexp_extract_all(lower(text), '" + WORD + "')]) AS term")},
 mg AS (SELECT query_id, q.term, list_distinct([substr(strip_accents(q.term), i, 3) FOR i IN range(1, length(strip_accents(q.term)) - 1)]) AS grams FROM q WHERE q.term NOT IN (SELECT term FROM df)),
 m AS (SELECT * FROM mg WHERE len(grams) >= 3),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -67,17 +68,28 @@ class Store:
         return said[-1] if said else None
 
     def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def commit(self, changes: Mapping[Relation, DataFrame], said: dict) -> dict:
-        """Write a version: signed rows (columns, n) of some relations, then the manifest with what is said of it."""
-        version, token = len(self.manifests()), uuid.uuid4().hex
-        for relation, rows in changes.items():
-            placed = rows.select(*relation.names, F.col("n").cast("long").alias("n"), self.bucket(F.col(relation.key)).alias("bucket"))
-            salt = [F.pmod(F.xxhash64(relation.spread), F.lit(8))] if relation.spread else []
-            placed = placed.repartition(F.col("bucket"), *salt).sortWithinPartitions("bucket", relation.key)
-            placed.write.partitionBy("bucket").parquet(f"{self.root}/{relation.name}/{token}")
-        said = {**said, "folder": token, "relations": sorted(r.name for r in changes)}
+        """The bucket of a key; Spark's own partitioning by the key into `buckets` partitions makes the same parts."""
+        return F.pmod(F.hash(key), F.lit(self.buckets)).cast("int")
+
+    def write(self, relation: Relation, rows: DataFrame, folder: str, placed: bool = False) -> DataFrame:
+        """Write signed rows (columns, n) of a version to be, and give them as written. placed: they are partitioned by the key into `buckets` already."""
+        held = rows.select(*relation.names, F.col("n").cast("long").alias("n"), self.bucket(F.col(relation.key)).alias("bucket"))
+        if relation.spread:
+            held = held.repartition(F.col("bucket"), F.pmod(F.hash(relation.spread), F.lit(8))).sortWithinPartitions("bucket", relation.key)
+        elif not placed:
+            held = held.repartition(self.buckets, F.col(relation.key)).sortWithinPartitions("bucket", relation.key)
+        path = f"{self.root}/{relation.name}/version={folder}"
+        held.write.partitionBy("bucket").parquet(path)
+        return self.spark.read.schema(T.StructType.fromDDL(f"{relation.columns}, n long, bucket int")).parquet(path).drop("bucket")
+
+    def commit(self, changes: Mapping[Relation, DataFrame | None], said: dict, folder: str | None = None) -> dict:
+        """Write a version: signed rows of some relations, None where they lie in the folder already; then the manifest with what is said of it."""
+        version, folder = len(self.manifests()), folder or uuid.uuid4().hex
+        todo = [(r, rows) for r, rows in changes.items() if rows is not None]
+        with ThreadPoolExecutor(max(1, len(todo))) as pool:  # the relations are jobs of their own
+            for done in [pool.submit(self.write, r, rows, folder) for r, rows in todo]:
+                done.result()
+        said = {**said, "folder": folder, "relations": sorted(r.name for r in changes)}
         self.spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("error").text(f"{self.root}/manifest/version={version}")
         return said
 
@@ -87,10 +99,11 @@ class Store:
         keys has the relation's key among its columns; it is worked out once and kept.
         """
         folders = [said["folder"] for said in self.manifests() if relation.name in said["relations"]]
-        schema = T.StructType.fromDDL(f"{relation.columns}, n long, bucket int")
+        schema = T.StructType.fromDDL(f"{relation.columns}, n long, version string, bucket int")
         if not folders:
             return self.spark.createDataFrame([], schema).select(*relation.names, "n")
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{relation.name}/{f}" for f in folders))
+        path = f"{self.root}/{relation.name}"
+        rows = self.spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/version={f}" for f in folders))
         if keys is not None:
             wanted = materialize(keys.select(relation.key).where(F.col(relation.key).isNotNull()).distinct(), "keys")
             held = [r.bucket for r in wanted.select(self.bucket(F.col(relation.key)).alias("bucket")).distinct().collect()]  # as many as there are buckets at most

@@ -125,50 +125,75 @@ def capped_batches(events: DataFrame, group: str, quiet: int = QUIET_SECONDS, lo
 
 
 class CappedDebounce(StatefulProcessor):
-    """Emits a group's pending paths once it has been quiet, or at the latest a fixed time after the first of them."""
+    """Numbers a group's batches in the order of event time, whatever the order in which events arrive.
+
+    Events wait in the state until the watermark has passed them, so nothing earlier can follow; then they are folded in
+    order of time and path, as capped_runs folds them. A batch goes out once the watermark has passed the time at which it
+    falls due. The state holds the events younger than the watermark, and of the open batch the last event of each path.
+    """
 
     def __init__(self, quiet: int = QUIET_SECONDS, longest: int = LONGEST_SECONDS):
         self.quiet, self.longest = 1000 * quiet, 1000 * longest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", StructType([StructField("path", StringType())]), StructType([StructField("at", LongType())]))
-        self.span = handle.getValueState("span", StructType([StructField("first", LongType()), StructField("due", LongType())]))
+        text, number = (lambda n: StructField(n, StringType())), (lambda n: StructField(n, LongType()))
+        self.waiting = handle.getMapState("waiting", StructType([number("at"), text("path")]), StructType([number("events")]))
+        self.pending = handle.getMapState("pending", StructType([text("path")]), StructType([number("at")]))
+        self.span = handle.getValueState("span", StructType([number("batch"), number("first"), number("last")]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, due = self.span.get() if self.span.exists() else (None, None)
+        mark = 1000 * timerValues.getCurrentWatermarkInMs()
         for part in rows:
             for path, at in zip(part["path"], part["at"]):
-                now = int(pd.Timestamp(at).timestamp() * 1000)
-                if due is not None and now >= due:
-                    yield self._flush(key)
-                    first = None
-                first = now if first is None else first
-                if due is not None:
-                    self.handle.deleteTimer(due)
-                due = min(now + self.quiet, first + self.longest)
-                self.handle.registerTimer(due)
-                self.pending.updateValue((path,), (now,))
-        if first is not None:
-            self.span.update((first, due))
+                at = int(at)
+                if at >= mark:  # what comes later than the watermark allows is late, as for any operator with one
+                    self.waiting.updateValue((at, path), (1,))
+                    self.handle.registerTimer(at // 1000 + 1)
+        yield from self._fold(key, mark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._flush(key)
-
-    def _flush(self, key) -> pd.DataFrame:
-        rows = [(str(key[0]), p[0], pd.Timestamp(v[0], unit="ms")) for p, v in self.pending.iterator()]
-        self.pending.clear()
-        self.span.clear()
-        return pd.DataFrame(rows, columns=["grp", "path", "at"])
+        yield from self._fold(key, 1000 * timerValues.getCurrentWatermarkInMs())
+
+    def _fold(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        """Fold the waiting events before the mark; times are microseconds, what falls due is counted in milliseconds."""
+        batch, first, last = self.span.get() if self.span.exists() else (-1, 0, 0)
+        ripe = sorted(((k[0], k[1]) for k in self.waiting.keys() if k[0] < mark), key=lambda e: (e[0], e[1] is not None, e[1] or ""))
+        for at, path in ripe:
+            now = at // 1000
+            if batch < 0 or now >= min(last + self.quiet, first + self.longest):
+                yield from self._flush(key, batch)
+                batch, first = batch + 1, now
+            last = now
+            self.pending.updateValue((path,), (at,))
+            self.waiting.removeKey((at, path))
+        if batch >= 0:
+            self.span.update((batch, first, last))
+            due = min(last + self.quiet, first + self.longest)
+            if mark > 1000 * due:
+                yield from self._flush(key, batch)
+            elif ripe:
+                self.handle.registerTimer(due + 1)
+
+    def _flush(self, key, batch: int) -> Iterator[pd.DataFrame]:
+        rows = [(key[0], batch, p[0], pd.Timestamp(v[0], unit="us")) for p, v in self.pending.iterator()]
+        if rows:
+            self.pending.clear()
+            yield pd.DataFrame(rows, columns=["grp", "batch", "path", "at"])
 
     def close(self) -> None:
         pass
 
 
-def debounced(events: DataFrame, group: str, quiet: int = QUIET_SECONDS, longest: int = LONGEST_SECONDS) -> DataFrame:
-    """The streaming form of capped_batches: (grp, path, at) in batches as they fall due in event time."""
-    rows = events.withWatermark("at", f"{quiet} seconds").select(F.col(group).cast("string").alias("grp"), F.col("path").cast("string").alias("path"), "at")
-    return rows.groupBy("grp").transformWithStateInPandas(CappedDebounce(quiet, longest), outputStructType="grp string, path string, at timestamp", outputMode="append", timeMode="EventTime")
+def debounced(events: DataFrame, group: str, quiet: int = QUIET_SECONDS, longest: int = LONGEST_SECONDS, late: int | None = None) -> DataFrame:
+    """The streaming form of capped_batches: (grp, batch, path, at), a batch once it is due, whatever the order of arrival.
+
+    Events may come up to `late` seconds (quiet, if not given) after later ones; more belated ones are dropped.
+    """
+    marked = events.withWatermark("at", f"{quiet if late is None else late} seconds")
+    rows = marked.select(F.col(group).cast("string").alias("grp"), F.col("path").cast("string").alias("path"), F.col("at").alias("event_at"), F.unix_micros(F.col("at")).alias("at"))
+    schema = "grp string, batch long, path string, at timestamp"
+    return rows.groupBy("grp").transformWithStateInPandas(CappedDebounce(quiet, longest), outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def suppress_own_writes(events: DataFrame, writes: DataFrame, seconds: int = OWN_WRITE_SECONDS) -> DataFrame:

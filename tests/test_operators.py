@@ -106,6 +106,8 @@ def test_batch_merge(spark):
 def test_convergence_and_trim(spark):
     df = spark.createDataFrame([("s", k, n) for k, n in enumerate([20, 9, 8, 3, 5])], "source string, batch int, raw int")
     assert [(r.batch, r["size"], r.stop) for r in upkeep.convergence(df).orderBy("batch").collect()] == [(0, 20, False), (1, 20, False), (2, 10, False), (3, 10, True)]
+    old = spark.createDataFrame([("s", 0, 20, 20), ("s", 1, 19, 0), ("s", 2, 20, 20)], "source string, batch int, raw int, new int")
+    assert [(r.batch, r["size"], r.stop) for r in upkeep.convergence(old).orderBy("batch").collect()] == [(0, 20, False), (1, 20, True)]
     lines = spark.createDataFrame(list(enumerate(["## one", "xxxxxxxx", "## two", "yyy"])), ["pos", "line"])
     assert [r.line for r in upkeep.trim_log(lines, 14).orderBy("pos").collect()] == ["## two", "yyy"]
 
@@ -191,3 +193,23 @@ def test_queue_and_schedule(spark):
     assert sorted(map(tuple, watch.enqueue(queue, fresh).collect())) == [("a", "running"), ("b", "pending"), ("c", "pending")]
     jobs = spark.createDataFrame([("lint", dt.datetime(2024, 1, 1)), ("new", dt.datetime(2024, 1, 9))], ["job", "at"])
     assert [r.job for r in watch.due(jobs, F.lit("2024-01-10").cast("timestamp"), "weekly").collect()] == ["lint"]
+
+
+def test_needles_lie_where_they_are_and_blank_ones_nowhere(spark):
+    import random
+
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdé 🙂") for _ in range(n))
+    texts = [(k // 2, say(rng.randrange(40))) for k in range(60)] + [(99, ""), (98, None)]
+    pages = spark.createDataFrame(texts, "path int, text string").repartition(3)
+    words = ["", "a", "é ", "🙂", "abc", "nothing here", *{t[:k] for _, t in texts if t for k in (1, 2, 4, 9)}]
+    for asked in (words, [""], ["abcd"]):
+        found = retrieval.substring_hits(pages, "text", spark.createDataFrame([(w,) for w in asked + asked[:1]], "word string"))
+        assert sorted((r.path, r.word) for r in found.collect()) == sorted((p, w) for p, t in texts if t for w in set(asked) if w and w in t)
+
+
+def test_many_needles_meet_few_rows(spark):
+    """Ten thousand needles that begin alike: the pairs that are looked at are a small multiple of the hits."""
+    pages = spark.range(2000).selectExpr("id AS path", "concat('the same start ', hash(id, 1), ' and ', hash(id, 2)) AS text")
+    needles = spark.range(10_000).selectExpr("concat('the same start ', hash(id, 1)) AS word")
+    assert retrieval.substring_hits(pages, "text", needles).count() == 2000
