@@ -63,6 +63,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, teleport: float
     At each step the walk returns to its seed with probability teleport, or from a node without links; the score is
     the mean of the distributions after 0 to `steps` steps.  All seeds walk at once.
     """
+    edges = materialize(edges.select("src", "dst"), "ppr-edges")
     outs = edges.groupBy("src").agg(F.count("*").alias("out"))
     moves = materialize(edges.join(outs, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "ppr-moves")
     start = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(1.0).alias("mass")).distinct()
@@ -112,7 +113,7 @@ def clustering(edges: DataFrame, some: DataFrame | None = None) -> DataFrame:
     some (node) restricts the nodes.  Each triangle is found once, from its end of least degree, so a hub's
     neighbours are not paired with each other.
     """
-    sym = undirected(edges)
+    sym = materialize(undirected(edges), "clustering-links")
     deg = sym.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     rank = lambda n, d: F.struct(F.col(d), F.col(n))
     ranked = (
@@ -146,6 +147,7 @@ def co_citation(edges: DataFrame, selves: DataFrame, *, least_shared: int = 2, s
     one shared target suffices.
     """
     is_source = lambda c: c.cast("string").startswith(SOURCES)
+    edges = materialize(edges.select("src", "dst"), "cited-links")
     cited = edges.groupBy("dst").agg(F.count("*").alias("citing"))
     own = edges.join(selves.select(F.col("self").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("self"), F.col("dst").alias("target"))
     used = own.where(~is_source(F.col("target"))).join(cited.withColumnRenamed("dst", "target"), "target")
@@ -188,9 +190,35 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int, both_ways: bool = F
     return seen
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each node's weak component, for all nodes with links to others.
+
+    Stars are contracted: each node hands its larger neighbours, then its smaller ones, to the least it knows, until the links
+    are the stars of the components. The rounds grow with the logarithm of the diameter.
+    """
+    clean = edges.where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL")
+    links = materialize(clean.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star")
+    before = None
+    while True:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        links = materialize(small.distinct(), "star")
+        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == before:
+            break
+        before = now
+    found = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
 def weak_component(edges: DataFrame, first: DataFrame) -> DataFrame:
-    """(node): the weak component of one node (node), found by breadth."""
-    return reachable(edges, first.select(F.col("node").alias("seed")), 1 << 20, both_ways=True).select("node")
+    """(node): the weak component of one node (node)."""
+    found = materialize(components(edges), "components")
+    own = first.select("node").join(found, "node").select("component")
+    return found.join(F.broadcast(own), "component", "left_semi").select("node").union(first.select("node")).distinct()
 
 
 def mature(nodes: DataFrame, edges: DataFrame, **how: float) -> DataFrame:

@@ -213,3 +213,27 @@ def test_many_needles_meet_few_rows(spark):
     pages = spark.range(2000).selectExpr("id AS path", "concat('the same start ', hash(id, 1), ' and ', hash(id, 2)) AS text")
     needles = spark.range(10_000).selectExpr("concat('the same start ', hash(id, 1)) AS word")
     assert retrieval.substring_hits(pages, "text", needles).count() == 2000
+
+
+def test_components(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    rounds = []
+    kept = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: (rounds.append(label), kept(df, label))[1])
+    path = [(k, k + 1) for k in range(10_000)]
+    rng.shuffle(path)
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "src long, dst long")).collect()}
+    assert set(found.values()) == {0} and len(found) == 10_001 and len(rounds) < 2 * 20
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(70, 70), (None, 3), (80, 81), (80, 81)]
+    parent = {n: n for e in edges if None not in e for n in e}
+    for _ in parent:
+        for a, b in (e for e in edges if None not in e):
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = {n: p for n, p in parent.items() if any(n in e and e[0] != e[1] and None not in e for e in edges)}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node: r.component for r in graph.components(df).collect()} == want
+    for first in (70, 80, edges[0][0]):
+        got = {r.node for r in graph.weak_component(df, spark.createDataFrame([(first,)], "node long")).collect()}
+        assert got == ({n for n, p in want.items() if p == want[first]} if first in want else {first})
