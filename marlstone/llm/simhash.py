@@ -557,9 +557,11 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own, first, times = fresh(columns, "__id", "__first", "__times")
     far = lambda *c: F.lit(1 << 62) + F.pmod(F.xxhash64(*c), F.lit(1 << 62))
     named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), far(text_col)))
-    repeated = named.groupBy(own).agg(F.count("*").alias(times), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias(first)).where(F.col(times) > 1)
-    repeated = materialize(repeated.select(own, first), "simhash-repeated")
+    # ids are counted without their texts, which only repeated ids need
+    repeated = materialize(named.groupBy(own).agg(F.count("*").alias(times)).where(F.col(times) > 1).select(own), "simhash-repeated")
     if not repeated.isEmpty():
+        texts_of = named.join(repeated, own, "left_semi").groupBy(own).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias(first))
+        repeated = materialize(texts_of, "simhash-first")
         # of repeated ids the least text keeps the id; of repeated ids and texts the row whose columns have the least hash stays
         whole = F.struct(*[F.col(f"`{c}`") for c in columns])
         one = named.groupBy(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(times), text_col).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*", own)
