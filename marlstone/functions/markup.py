@@ -246,10 +246,10 @@ def operation_kind(title: Column, quoted_pages: Column) -> Column:
 
 def log_entries(lines):
     """(entry, date, time, operation, title, kind, body) of log lines (pos, line): an entry runs from its H2 to the next."""
-    from pyspark.sql import Window
+    from marlstone.operators.running import running_sum
 
     head = r"^## \[([0-9]{4}-[0-9]{2}-[0-9]{2})(?: ([0-9]{2}:[0-9]{2}))?\] (.+)$"
-    numbered = lines.withColumn("entry", F.sum(F.col("line").rlike(head).cast("int")).over(Window.orderBy("pos"))).where("entry > 0")
+    numbered = running_sum(lines, F.col("line").rlike(head).cast("int"), "entry", "pos").where("entry > 0")
     rows = numbered.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
     first = F.get(F.col("rows"), F.lit(0))["line"]
     rest = F.regexp_extract(first, head, 3)

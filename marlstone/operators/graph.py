@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.running import running_sum
 from marlstone.sources.workspace import materialize
 
 TELEPORT, STEPS = 0.30, 10
@@ -101,7 +102,7 @@ def hubs(nodes: DataFrame, edges: DataFrame, *, least_in: int = 2, top: int = 10
     scored = some.crossJoin(F.broadcast(greatest)).withColumn("composite", composite)
     # the value at an index, from the histogram of values
     steps = scored.groupBy("composite").agg(F.count("*").alias("at"))
-    counted = steps.withColumn("upto", F.sum("at").over(Window.orderBy("composite"))).crossJoin(F.broadcast(steps.agg(F.sum("at").alias("n"))))
+    counted = running_sum(steps, "at", "upto", "composite").crossJoin(F.broadcast(steps.agg(F.sum("at").alias("n"))))
     bar = counted.where(F.col("upto") > F.floor(F.col("n") * HUB_PERCENTILE)).agg(F.min("composite").alias("bar"))
     best = scored.crossJoin(F.broadcast(bar)).orderBy(F.col("composite").desc(), "node").limit(top)
     return best.select("node", "in_degree", "total_degree", "composite", ((F.col("composite") >= F.col("bar")) & (F.col("composite") > 0)).alias("is_hub"))
@@ -134,9 +135,13 @@ def clustering(edges: DataFrame, some: DataFrame | None = None) -> DataFrame:
 
 def hub_verdicts(measured: DataFrame, *, crystallised: float = 0.75, transition: float = 0.5, degree_floor: int = 30) -> DataFrame:
     """measured (node, degree, clustering) with percentile and verdict; measured is a short list of hubs."""
-    pct = F.percent_rank().over(Window.orderBy("clustering"))
     verdict = F.when(F.col("degree") < degree_floor, "building").when(F.col("percentile") >= crystallised, "crystallized").when(F.col("percentile") >= transition, "transition").otherwise("star")
-    return measured.withColumn("percentile", pct).withColumn("verdict", verdict)
+    # a value's percentile is the share of the others below it: from the running count of distinct values
+    values = running_sum(measured.groupBy(F.col("clustering").alias("value")).agg(F.count("*").alias("here")), "here", "upto", "value")
+    n = values.agg(F.sum("here").alias("n"))
+    share = F.when(F.col("n") > 1, (F.col("upto") - F.col("here")) / (F.col("n") - 1)).otherwise(0.0)
+    ranked = measured.join(values, F.col("clustering").eqNullSafe(F.col("value")), "left").crossJoin(F.broadcast(n))
+    return ranked.withColumn("percentile", share).drop("value", "here", "upto", "n").withColumn("verdict", verdict)
 
 
 def co_citation(edges: DataFrame, selves: DataFrame, *, least_shared: int = 2, specificity: int | None = None, limit: int | None = None, exclude: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.running import running_sum
+
 CACHE = {"ttl_days": 30, "bytes": 100 << 20, "entries": 1000, "entry_bytes": 10 << 20}
 #: Items a batch, batches and items in all, by how fine the extraction is.
 GRANULARITY = {"fine": (30, 12, 100), "standard": (20, 6, 50), "coarse": (10, 3, 10), "minimal": (5, 1, 5)}
@@ -36,8 +38,7 @@ def evicted(entries: DataFrame, most_bytes: int, most_entries: int) -> DataFrame
 
 def trim_log(lines: DataFrame, keep_chars: int) -> DataFrame:
     """lines (pos, line) from the first heading within the last keep_chars on."""
-    after = F.sum(F.char_length("line") + 1).over(Window.orderBy(F.col("pos").desc()))
-    tail = lines.withColumn("after", after).where(F.col("after") <= keep_chars)
+    tail = running_sum(lines, F.char_length("line") + 1, "after", F.col("pos").desc()).where(F.col("after") <= keep_chars)
     first = tail.where("line LIKE '## %'").agg(F.min("pos").alias("first"))
     return tail.crossJoin(F.broadcast(first)).where("pos >= first").select("pos", "line")
 

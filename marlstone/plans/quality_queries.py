@@ -227,10 +227,18 @@ def source_diversity(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.source_diversity(_ranked(spark, sf), sources).withColumn("dominant", F.round("dominant", 6))
 
 
-@query("cluster_bootstrap")
+BOOTSTRAP_SQL = EVAL_SQL + """, h AS (SELECT t.query_id::VARCHAR AS asker, sum(CASE WHEN coalesce(rank, 99) <= 10 THEN 1 ELSE 0 END) AS hit, count(*) AS n FROM truth t LEFT JOIN top ON top.query_id = t.query_id AND top.path = t.path GROUP BY t.query_id),
+d AS (SELECT asker, hit, n, round, CAST('0x' || md5(asker || ':' || round)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM h, range(400) r(round)),
+w AS (SELECT *, len([p FOR p IN [{poisson}]::DOUBLE[] IF u >= p]) AS times FROM d),
+m AS (SELECT round, sum(times * hit) / sum(times * n) AS mean FROM w GROUP BY round HAVING sum(times * n) > 0),
+o AS (SELECT list_sort(list(mean)) AS m FROM m)
+SELECT round((SELECT sum(hit) / sum(n) FROM h), 6) AS mean, round(m[1 + floor(0.025 * (len(m) - 1))::INTEGER], 6) AS low, round(m[1 + floor(0.975 * (len(m) - 1))::INTEGER], 6) AS high FROM o""".replace("{poisson}", ", ".join(map(str, evaluation.POISSON)))
+
+
+@query("cluster_bootstrap", BOOTSTRAP_SQL)
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     hits = _truth(spark, sf).join(_ranked(spark, sf), ["query_id", "path"], "left").select(F.col("query_id").alias("asker"), (F.coalesce("rank", F.lit(99)) <= 10).cast("int").alias("hit"))
-    return evaluation.cluster_bootstrap(hits)
+    return evaluation.cluster_bootstrap(hits).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 COS_SQL = "n AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, q.label AS own, d.vec_id, d.label, round(array_cosine_similarity(q.v, d.v), 6) AS score FROM n q JOIN n d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10)"

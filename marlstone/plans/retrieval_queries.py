@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import body_hash, context_keywords, estimate_tokens, lexically_reliable, spaced_words, tokenize_query, word_grams
 from marlstone.operators import corpus, retrieval
+from marlstone.operators.running import running_sum
 from marlstone.operators.termindex import FORMAT, TermIndex, kept
 from marlstone.plans.registry import load, query
 from marlstone.sources.versioned import Store
@@ -123,9 +124,7 @@ def df_tail(spark: SparkSession, sf: str) -> DataFrame:
     n = t.agg(F.count_if(F.col("field") == "title").alias("docs"))
     steps = df.groupBy("df").agg(F.count("*").alias("at"))
     total = steps.agg(F.sum("at").alias("terms"))
-    from pyspark.sql import Window
-
-    upto = steps.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("at").over(Window.orderBy("df").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running_sum(steps.crossJoin(F.broadcast(total)), "at", "upto", "df")
     quantile = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * F.col("terms")), F.col("df")))
     return upto.crossJoin(F.broadcast(n)).agg(
         F.max("docs").alias("docs"), F.max("terms").alias("terms"), F.coalesce(F.sum(F.when(F.col("df") >= 0.5 * F.col("docs"), F.col("at"))), F.lit(0)).alias("common"),

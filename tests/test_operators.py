@@ -237,3 +237,20 @@ def test_components(spark, monkeypatch):
     for first in (70, 80, edges[0][0]):
         got = {r.node for r in graph.weak_component(df, spark.createDataFrame([(first,)], "node long")).collect()}
         assert got == ({n for n, p in want.items() if p == want[first]} if first in want else {first})
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    from marlstone.operators.running import numbered, running_sum
+
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(5), rng.choice([None, 1, 7])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, range int, addend int").repartition(5)
+    got = {r.id: (r.place, r.upto) for r in running_sum(numbered(df, "place", F.col("range").desc(), "id", parts=7), "addend", "upto", F.col("range").desc(), "id", parts=3).collect()}
+    total, want = 0, {}
+    for place, (k, _, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += v or 0
+        want[k] = (place, total)
+    assert got == want
+    assert numbered(df.limit(0), "place", "id").collect() == []
