@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph
+from marlstone.operators import graph, merge
 from marlstone.operators.linkindex import CAP, LinkIndex
 from marlstone.plans.registry import load, query
 from marlstone.sources.versioned import Store
@@ -145,6 +145,30 @@ def co_citation(spark: SparkSession, sf: str) -> DataFrame:
     return _cocite(spark, sf)
 
 
+#: Each part goes into the one that most orders have together with it.
+MERGE_SQL = f"""WITH RECURSIVE {E_SQL}, pr AS (SELECT a.dst AS source, b.dst AS target, count(*) AS score FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst GROUP BY ALL),
+go AS (SELECT source, target FROM pr QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) = 1),
+walk AS (SELECT source, target AS node, [source] AS seen FROM go UNION ALL SELECT w.source, g.target, list_append(seen, node) FROM walk w JOIN go g ON g.source = w.node WHERE NOT list_contains(seen, node)),
+fin AS (SELECT source, node, seen FROM walk QUALIFY row_number() OVER (PARTITION BY source ORDER BY len(seen) DESC) = 1),
+mv AS (SELECT * FROM (SELECT source, CASE WHEN list_contains(seen, node) THEN list_min(seen[list_position(seen, node):]) ELSE node END AS target FROM fin) WHERE source <> target)"""
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    e = materialize(order_parts(spark, sf), "merge-links")
+    together = e.select("src", F.col("dst").alias("source")).join(e.select("src", F.col("dst").alias("target")), "src").where("source <> target")
+    return merge.redirects(together.groupBy("source", "target").agg(F.count("*").alias("score")))
+
+
+@query("merge_targets", MERGE_SQL + " SELECT source, target FROM mv")
+def merge_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(spark, sf)
+
+
+@query("links_merged", MERGE_SQL + " SELECT DISTINCT src, coalesce(target, dst) AS dst FROM e LEFT JOIN mv ON mv.source = e.dst")
+def links_merged(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.redirect_links(order_parts(spark, sf), materialize(_merged(spark, sf), "merge-moved"))
+
+
 KEPT_SQL = f"""WITH {E_SQL}, c AS (SELECT dst, count(*) AS citing FROM e GROUP BY dst)"""
 
 

@@ -254,3 +254,33 @@ def test_running_sums_over_ranges(spark):
         want[k] = (place, total)
     assert got == want
     assert numbered(df.limit(0), "place", "id").collect() == []
+
+
+def test_merge_chains_and_circles(spark):
+    import random
+
+    from marlstone.operators import merge
+
+    rng = random.Random(3)
+    cases = [[("a", "b", 1), ("b", "c", 1)], [("a", "b", 1), ("b", "a", 1)], [("z", "y", 1), ("y", "x", 1), ("x", "z", 2), ("q", "z", 1), ("q", "r", 0)], [("a", "a", 1)], []]
+    cases.append([(f"n{k:03}", f"n{k + 1:03}", 1) for k in range(200)])
+    cases.append([(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", rng.randrange(3)) for _ in range(45)])
+    for pairs in cases:
+        best = {}
+        for s, t, score in sorted(pairs, key=lambda p: (-p[2], p[1])):
+            if s != t:
+                best.setdefault(s, t)
+        want = {}
+        for s in best:
+            seen, at = [s], best[s]
+            while at in best and at not in seen:
+                seen.append(at)
+                at = best[at]
+            end = min(seen[seen.index(at) :]) if at in seen else at
+            if end != s:
+                want[s] = end
+        got = merge.redirects(spark.createDataFrame(pairs, "source string, target string, score int"))
+        assert {r.source: r.target for r in got.collect()} == want
+    moved = spark.createDataFrame([("a", "c"), ("b", "c")], "source string, target string")
+    links = spark.createDataFrame([("x", "a"), ("x", "b"), ("a", "b"), ("c", "a"), ("a", "x"), ("x", "y")], "src string, dst string")
+    assert sorted(tuple(r) for r in merge.redirect_links(links, moved).collect()) == [("c", "x"), ("x", "c"), ("x", "y")]
