@@ -14,6 +14,7 @@ from marlstone.sources.workspace import materialize
 
 TELEPORT, STEPS = 0.30, 10
 LINK = r"\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]+)?\]\]"
+ANY_LINK = r"\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]"
 MATURE = {"pages": 30, "edges": 30, "density": 1.0, "share": 0.5}
 HUB_PERCENTILE = 0.7
 SOURCES = "sources/"
@@ -277,3 +278,19 @@ def audit(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
         "nodes", "edges", F.when(F.col("edges") == 0, 0.0).otherwise(F.col("held") / F.col("edges")).alias("top_share"),
         F.when(F.col("k") < 2, 0.0).otherwise(F.col("among") / (F.col("k") * (F.col("k") - 1))).alias("top_density"),
     )
+
+
+def incoming_index(pages: DataFrame) -> DataFrame:
+    """(src, dst, pos): links resolved to a page by its title, else by its last name; links that name a folder resolve to nothing.
+
+    pages is (path, title, content, pos); of pages with one title or name the last by pos is meant. A title goes before a name even where it is the
+    page's own, and such links are left out like repeats; pos is the place of the first link. Null titles and contents give nothing.
+    """
+    last = lambda key, to: pages.where(key.isNotNull()).groupBy(key.alias(f"{to}_key")).agg(F.max_by("path", "pos").alias(to))
+    titles = last(F.col("title"), "titled")
+    names = last(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""), "named")
+    found = pages.select(F.col("path").alias("src"), F.posexplode(F.regexp_extract_all("content", F.lit(ANY_LINK), 1)).alias("at", "raw"))
+    found = found.groupBy("src", F.trim("raw").alias("link")).agg(F.min("at").alias("at"))
+    met = found.join(titles, F.col("link") == F.col("titled_key"), "left").join(names, F.regexp_replace("link", r"\.md$", "") == F.col("named_key"), "left")
+    met = met.withColumn("dst", F.coalesce("titled", "named"))
+    return met.where(F.col("dst") != F.col("src")).groupBy("src", "dst").agg(F.min("at").alias("pos"))
