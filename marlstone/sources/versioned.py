@@ -93,15 +93,12 @@ class Store:
         self.spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("error").text(f"{self.root}/manifest/version={version}")
         return said
 
-    def read(self, relation: Relation, keys: DataFrame | None = None) -> DataFrame:
-        """The rows (columns, n) that the relation holds now; with keys, those of these keys, from their buckets only.
-
-        keys has the relation's key among its columns; it is worked out once and kept.
-        """
+    def rows(self, relation: Relation, keys: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """The signed rows of all versions as they were written (columns, n), and how many versions they come from; with keys as in read."""
         folders = [said["folder"] for said in self.manifests() if relation.name in said["relations"]]
         schema = T.StructType.fromDDL(f"{relation.columns}, n long, version string, bucket int")
         if not folders:
-            return self.spark.createDataFrame([], schema).select(*relation.names, "n")
+            return self.spark.createDataFrame([], schema).select(*relation.names, "n"), 0
         path = f"{self.root}/{relation.name}"
         rows = self.spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/version={f}" for f in folders))
         if keys is not None:
@@ -109,9 +106,15 @@ class Store:
             held = [r.bucket for r in wanted.select(self.bucket(F.col(relation.key)).alias("bucket")).distinct().collect()]  # as many as there are buckets at most
             rows = rows.where(F.col("bucket").isin(sorted(held)) if held else F.lit(False))
             rows = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, relation.key, "left_semi")
-        if len(folders) > 1:
-            rows = rows.groupBy(*relation.names).agg(F.sum("n").alias("n")).where("n <> 0")
-        return rows.select(*relation.names, "n")
+        return rows.select(*relation.names, "n"), len(folders)
+
+    def read(self, relation: Relation, keys: DataFrame | None = None) -> DataFrame:
+        """The rows (columns, n) that the relation holds now; with keys, those of these keys, from their buckets only.
+
+        keys has the relation's key among its columns; it is worked out once and kept.
+        """
+        rows, versions = self.rows(relation, keys)
+        return rows.groupBy(*relation.names).agg(F.sum("n").alias("n")).where("n <> 0") if versions > 1 else rows
 
     def compacted(self, root: str, relations: list[Relation]) -> Store:
         """A store of one version with the same rows, in another folder."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,28 @@ from marlstone.functions import markup
 #: Parts of a path that are no page of the wiki.
 NO_PAGES = ("/index.md", "/log.md", "/schema/", "/contradictions/")
 TEXT_CHARS = 2000
+REF_COLUMNS = ("path", "title", "display_title", "aliases", "tags", "ctime", "text")
 SUMMARY_CHARS, NO_SUMMARY = 100, "No summary"
 
 
+def markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """All markdown files below a folder as (path, modificationTime, length, content); content is read only where it is selected."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
+
+
+def below(path: Column, folder: str) -> Column:
+    """A file's address as a path relative to a folder that it lies in."""
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), "^" + re.escape("/" + folder.split(":", 1)[-1].strip("/") + "/"), "")
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; those that are none become replacement characters, where decode would fail."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content, mtime, size) of all markdown files below a folder, paths relative to it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "/" + folder.split(":", 1)[-1].strip("/") + "/", "")
-    return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return markdown(spark, folder).select(below(F.col("path"), folder).alias("path"), decoded(F.col("content")).alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def is_page(path: Column, wiki_folder: str) -> Column:
@@ -27,14 +43,21 @@ def is_page(path: Column, wiki_folder: str) -> Column:
     return out
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """files (path, content, ...) with kind (the type in the front matter) and the page's reference: REF_COLUMNS."""
+    body = markup.body(F.col("content"))
+    read = files.withColumn("fm", markup.front_matter(F.col("content")))
+    return read.withColumns({
+        "kind": F.col("fm.type"), "title": F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""),
+        "display_title": F.nullif(F.trim(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1)), F.lit("")), "aliases": F.col("fm.aliases"), "tags": F.col("fm.tags"),
+        "ctime": F.to_timestamp("fm.created"), "text": F.left(F.lower(body), F.lit(TEXT_CHARS)),
+    }).drop("fm")
+
+
 def page_refs(files: DataFrame, wiki_folder: str) -> DataFrame:
     """(path, title, display_title, aliases, tags, ctime, text) of a wiki's pages; welcome pages are left out, text is the lower-case beginning of the body."""
-    pages = files.where(is_page(F.col("path"), wiki_folder)).withColumn("fm", markup.front_matter(F.col("content")))
-    body = markup.body(F.col("content"))
-    return pages.where(~F.coalesce(F.col("fm.type") == "welcome", F.lit(False))).select(
-        "path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("title"), F.nullif(F.trim(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1)), F.lit("")).alias("display_title"),
-        F.col("fm.aliases").alias("aliases"), F.col("fm.tags").alias("tags"), F.to_timestamp("fm.created").alias("ctime"), F.left(F.lower(body), F.lit(TEXT_CHARS)).alias("text"),
-    )
+    pages = parsed(files.where(is_page(F.col("path"), wiki_folder)))
+    return pages.where(~F.coalesce(F.col("kind") == "welcome", F.lit(False))).select(*REF_COLUMNS)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

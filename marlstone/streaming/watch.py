@@ -25,7 +25,7 @@ def file_events(spark: SparkSession, folder: str, pattern: str = "*.md") -> Data
     """A stream of (path, mtime, at, content) of new or rewritten files under a folder."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return files.schema(schema).load(folder).select("path", F.col("modificationTime").alias("mtime"), F.col("modificationTime").alias("at"), F.decode("content", "UTF-8").alias("content"))
+    return files.schema(schema).load(folder).select("path", F.col("modificationTime").alias("mtime"), F.col("modificationTime").alias("at"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def accepted_once(seconds: int) -> Callable:
