@@ -9,6 +9,8 @@ from marlstone.functions.text import segment, spaced_words, word_grams
 
 FIELDS = ("title", "alias", "summary", "text")
 WEIGHTS = {"title": 3.0, "alias": 2.0, "summary": 1.0, "text": 1.0}
+#: Pages whose postings of one term may lie in one row.
+PAGES_PER_BLOCK = 100_000
 
 
 def pages_from_documents(docs: DataFrame, title_words: int = 8, summary_chars: int = 200) -> DataFrame:
@@ -59,10 +61,17 @@ def corpus_statistics(terms: DataFrame) -> DataFrame:
 
 
 def inverted_index(posted: DataFrame) -> DataFrame:
-    """(term, paths): distinct paths, ascending."""
+    """(term, paths): distinct paths, ascending; a row has all pages of its term: see posting_blocks for rows of bounded size."""
     return posted.groupBy("term").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
+def posting_blocks(posted: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+    """(term, block, paths): as inverted_index, cut by pages: a block has the postings of about pages_per_block pages, so no row grows with the corpus."""
+    blocks = max(1, -(-posted.select("path").distinct().count() // pages_per_block))
+    cut = posted.select("term", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"), "path")
+    return cut.groupBy("term", "block").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
 def gram_postings(terms: DataFrame) -> DataFrame:
     """(path, field, gram, tf): a term occurrence counts once for each distinct trigram in it."""
     return (

@@ -17,18 +17,28 @@ TYPES = ("entity", "concept", "source")
 
 
 def mask_code(content: Column) -> Column:
-    """Fenced lines and inline code blanked, lengths kept."""
-    lines = F.split(content, "\n")
-    blank = lambda s: F.repeat(F.lit(" "), F.char_length(s))
+    """Fenced lines and inline code blanked, lengths kept; the work is in proportion to the text.
 
-    def step(state: Column, line: Column) -> Column:
-        fence = line.rlike(r"^\s*(```|~~~)")
-        inline = F.array_join(F.transform(F.split(line, r"(?=`[^`]*`)|(?<=`)(?![^`]*`[^`]*$)"), lambda p: F.when(p.rlike("^`[^`]*`$"), blank(p)).otherwise(p)), "")
-        kept = F.when(fence | state["inside"], blank(line)).otherwise(inline)
-        return F.struct((state["inside"] != fence).alias("inside"), F.concat(state["out"], F.array(kept)).alias("out"))
+    The text is cut before each fence line: every second piece is inside a fence, and a later piece outside begins with the fence that closes.
+    Inline code lies between two backticks of a line; a last backtick without a partner stays.
+    """
+    blank = lambda s: F.regexp_replace(s, r"[^\n]", " ")
+
+    def inline(line: Column) -> Column:
+        bits = F.split(line, "`")
+        one = lambda p, i: F.when(i % 2 == 0, p).when(i < F.size(bits) - 1, F.concat(F.lit(" "), blank(p), F.lit(" "))).otherwise(F.concat(F.lit("`"), p))
+        return F.array_join(F.transform(bits, one), "")
+
+    def outside(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, "\n"), inline), "\n")
+
+    def piece(p: Column, i: Column) -> Column:
+        fence_end = F.locate("\n", p)
+        after = F.concat(blank(F.left(p, fence_end)), outside(F.substring(p, fence_end + 1, F.length(p))))
+        return F.when((i % 2 == 1) | ((i > 0) & (fence_end == 0)), blank(p)).when(i == 0, outside(p)).otherwise(after)
 
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(lines, start, step, lambda s: s["out"]), "\n")
+    pieces = F.split(F.concat(F.lit("\n"), content), r"(?<=\n)(?=[^\S\n]*(?:```|~~~))")
+    return F.substring(F.array_join(F.transform(pieces, piece), ""), F.lit(2), F.length(content))
 
 
 def known_targets(files: DataFrame) -> DataFrame:
@@ -111,11 +121,27 @@ def source_drift(pages: DataFrame, notes: DataFrame) -> DataFrame:
     return by_page.where("NOT same").select("page", "first.note", "first.kind")
 
 
+def _short_quotes(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(quote_id, source_id) of sources that may contain a quote (quote_id, q) of one or two words.
+
+    One word is a part of a word of the source: it begins some suffix of it, met by its first three characters. Of two the first ends a word:
+    it is a suffix. So quotes meet suffixes of distinct words, not sources, and sources come by the words that were hit.
+    """
+    held = bodies.select("source_id", F.explode(F.array_distinct(F.split("b", " "))).alias("word")).where("word <> ''")
+    suffixes = held.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring("word", i, F.char_length("word")))).alias("suffix"))
+    words = quotes.select("quote_id", F.split("q", " ").alias("w"))
+    ones = words.where(F.size("w") == 1).select("quote_id", F.element_at("w", 1).alias("one")).withColumn("start", F.left("one", F.lit(3)))
+    starts = suffixes.select("word", "suffix", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.char_length("suffix"))), lambda n: F.left("suffix", n))).alias("start"))
+    within = ones.join(starts, "start").where(F.startswith("suffix", F.col("one"))).select("quote_id", "word")
+    ends = words.where(F.size("w") == 2).select("quote_id", F.element_at("w", 1).alias("suffix")).join(suffixes, "suffix").select("quote_id", "word")
+    return within.unionByName(ends).distinct().join(held, "word").select("quote_id", "source_id").distinct()
+
+
 def grounded(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """(quote_id, source_id): the sources that contain a quote after folding case, punctuation and space.
 
     Quotes and sources meet on the quote's rarest word of the fold, so no quote is tried on every source;
-    a quote without a word matches nothing.
+    a quote without a word matches nothing. Quotes of one or two words meet the sources by parts of the sources' distinct words.
     """
     folded = quotes.select("quote_id", normalize_quote(F.col("quote")).alias("q")).where("q <> ''")
     bodies = sources.select("source_id", normalize_quote(F.col("body")).alias("b"))
@@ -126,8 +152,7 @@ def grounded(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "word", "left").groupBy("quote_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     by_word = rarest.join(held, "word").select("quote_id", "source_id")
-    short = folded.join(rarest, "quote_id", "left_anti").select("quote_id").crossJoin(bodies.select("source_id"))
-    tried = by_word.unionByName(short)
+    tried = by_word.unionByName(_short_quotes(folded.join(rarest, "quote_id", "left_anti"), bodies)).distinct()
     return tried.join(folded, "quote_id").join(bodies, "source_id").where(F.contains("b", F.col("q"))).select("quote_id", "source_id")
 
 

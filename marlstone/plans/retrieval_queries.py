@@ -106,6 +106,12 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.select("term", F.array_join(F.col("paths").cast("array<string>"), " ").alias("paths"))
 
 
+@query("posting_blocks", f"WITH {FIELD_SQL} SELECT term, count(DISTINCT path) AS n, min(path) AS first, max(path) AS last FROM post GROUP BY term")
+def posting_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = corpus.posting_blocks(corpus.postings(terms(spark, sf)), 50)
+    return blocks.groupBy("term").agg(F.sum(F.size("paths")).alias("n"), F.min(F.element_at("paths", 1)).alias("first"), F.max(F.element_at("paths", -1)).alias("last"))
+
+
 @query("gram_df", rf"""WITH {FIELD_SQL},
 g AS (SELECT DISTINCT path, unnest([substr(strip_accents(term), i, 3) FOR i IN range(1, length(strip_accents(term)) - 1)]) AS gram FROM (SELECT DISTINCT path, term FROM post))
 SELECT gram, count(*) AS df FROM g GROUP BY gram""")
