@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from marlstone.operators.running import running_sum
+from marlstone.sources.workspace import materialize
+
 QUIET_SECONDS, LONGEST_SECONDS = 5, 60
 EVENT_TTL_SECONDS, OWN_WRITE_SECONDS = 600, 120
 PERIOD_DAYS = {"daily": 1, "weekly": 7, "monthly": 30}
@@ -79,12 +82,41 @@ def drop_repeats(events: DataFrame, seconds: int = EVENT_TTL_SECONDS) -> DataFra
     return dealt.mapInArrow(fold, StructType([StructField("row", events.schema)])).select("row.*")
 
 
+def in_cell(t: Column, width: int) -> Column:
+    """The number of the stretch of so many units that a whole number lies in; the quotient of a multiple is exact."""
+    return ((t - F.pmod(t, F.lit(width))) / width).cast("long")
+
+
+def quiet_runs(times: DataFrame, quiet: int) -> DataFrame:
+    """(grp, cell, first, last, run) of times (grp, t), whole numbers: runs of a group with gaps of less than `quiet`, numbered upwards over all groups.
+
+    A cell is a stretch of time as long as `quiet`, so no run ends inside one, and whether one begins is told by the cell before it: no group
+    is sorted or held by one task.
+    """
+    cells = times.groupBy("grp", in_cell(F.col("t"), quiet).alias("cell")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    cells = materialize(cells, "quiet-cells")
+    before = cells.select(F.col("grp").alias("of"), (F.col("cell") + 1).alias("after"), F.col("last").alias("before"))
+    met = cells.join(before, F.col("grp").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("after")), "left")
+    begins = F.when(F.col("first") < F.col("before") + quiet, 0).otherwise(1)
+    return running_sum(met.select("grp", "cell", "first", "last", begins.alias("begins")), "begins", "run", "grp", "cell").drop("begins")
+
+
 def quiet_batches(events: DataFrame, seconds: int = QUIET_SECONDS, *, by: str | None = None) -> DataFrame:
-    """(start, stop, events, paths) of runs of events with gaps of at most so many seconds; by splits them by a column, which a stream needs."""
-    rows = events.withWatermark("at", f"{seconds} seconds") if events.isStreaming else events
-    keys = [F.session_window("at", f"{seconds} seconds").alias("w")] + ([F.col(by)] if by else [])
-    out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths"))
-    return out.select(*([by] if by else []), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events", "paths")
+    """(start, stop, events, paths) of runs of events with gaps of less than so many seconds; by splits them by a column, which a stream needs."""
+    if events.isStreaming:
+        rows = events.withWatermark("at", f"{seconds} seconds")
+        keys = [F.session_window("at", f"{seconds} seconds").alias("w")] + ([F.col(by)] if by else [])
+        out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths"))
+        return out.select(*([by] if by else []), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events", "paths")
+    quiet, kind = 1_000_000 * seconds, events.schema["at"].dataType
+    rows = events.select((F.col(by) if by else F.lit(0)).alias("grp"), "path", F.unix_micros(F.col("at").cast("timestamp")).alias("t")).where("t IS NOT NULL")
+    runs = materialize(quiet_runs(rows, quiet), "quiet-runs")
+    seen = rows.groupBy("grp", in_cell(F.col("t"), quiet).alias("cell"), "path").agg(F.count("*").alias("n"))
+    placed = seen.join(runs.select(F.col("grp").alias("of"), F.col("cell").alias("at"), "run"), F.col("grp").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at")))
+    counted = placed.groupBy("run", "path").agg(F.sum("n").alias("n")).groupBy("run").agg(F.sum("n").alias("events"), F.count("path").alias("paths"))
+    spans = runs.groupBy("run").agg(F.first("grp").alias("grp"), F.min("first").alias("first"), F.max("last").alias("last"))
+    out = spans.join(counted, "run").select(F.col("grp").alias(by or "grp"), F.timestamp_micros("first").cast(kind).alias("start"), F.timestamp_micros(F.col("last") + quiet).cast(kind).alias("stop"), "events", "paths")
+    return out if by else out.drop("grp")
 
 
 def capped_runs(times: list[int], quiet: int, longest: int) -> list[int]:
@@ -101,27 +133,40 @@ def capped_runs(times: list[int], quiet: int, longest: int) -> list[int]:
 def capped_batches(events: DataFrame, group: str, quiet: int = QUIET_SECONDS, longest: int = LONGEST_SECONDS) -> DataFrame:
     """(group, batch, path, at): the last event of each path in each capped batch of a group; a finite relation.
 
-    Each group is folded in order, one event at a time; none is held in memory.
+    A batch ends with its quiet run at the latest, so runs are cut on their own, each from its distinct milliseconds in order; none is held in
+    memory. Events without a time belong to their group's last batch.
     """
     rows = events.select(F.col(group).cast("string").alias("grp"), F.col("path").cast("string").alias("path"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
-    dealt = rows.withColumn("hash", F.xxhash64("grp")).repartition("grp").sortWithinPartitions("hash", "grp", "at", "path")
+    rows = rows.withColumn("t", in_cell(F.col("at"), 1000))
+    times = materialize(rows.where("t IS NOT NULL").select("grp", "t").distinct(), "capped-times")
+    runs = quiet_runs(times, 1000 * quiet).select(F.col("grp").alias("of"), F.col("cell"), "run")
+    placed = times.join(runs, F.col("grp").eqNullSafe(F.col("of")) & (in_cell(F.col("t"), 1000 * quiet) == F.col("cell"))).select("grp", "run", "t")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, seen, batch_no, first, last = None, False, -1, 0, 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, no, first = None, -1, 0
         for batch in batches:
             numbers = []
-            for now, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                t = at // 1000
-                if not seen or now != grp:
-                    grp, seen, batch_no, first = now, True, 0, t
-                elif t >= min(last + 1000 * quiet, first + 1000 * longest):
-                    batch_no, first = batch_no + 1, t
-                last = t
-                numbers.append(batch_no)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32()), batch.column(1), batch.column(2)], ["grp", "batch", "path", "at"])
-
-    numbered = dealt.mapInArrow(fold, "grp string, batch int, path string, at long")
-    return numbered.groupBy("grp", "batch", "path").agg(F.timestamp_micros(F.max("at")).alias("at")).withColumnRenamed("grp", group)
+            for now, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if now != run:
+                    run, no, first = now, 0, t
+                elif t >= first + 1000 * longest:
+                    no, first = no + 1, t
+                numbers.append(no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["grp", "run", "t", "no"])
+
+    numbered = placed.repartition("run").sortWithinPartitions("run", "t").mapInArrow(cut, "grp string, run long, t long, no long")
+    numbered = materialize(numbered, "capped-numbered")
+    # a run's batches follow those of the group's runs before it
+    sizes = running_sum(numbered.groupBy("run").agg(F.first("grp").alias("grp"), (F.max("no") + 1).alias("size")), "size", "upto", "run")
+    sizes = materialize(sizes.select("run", "grp", "upto", (F.col("upto") - F.col("size")).alias("before")), "capped-sizes")
+    spans = sizes.groupBy("grp").agg(F.min("before").alias("base"), F.max("upto").alias("end"))
+    spans = spans.select(F.col("grp").alias("whose"), "base", (F.col("end") - F.col("base") - 1).alias("final"))
+    known = numbered.join(sizes.select("run", "before"), "run").join(spans, F.col("grp").eqNullSafe(F.col("whose")))
+    known = known.select(F.col("grp").alias("of"), F.col("t").alias("then"), (F.col("no") + F.col("before") - F.col("base")).alias("batch"))
+    dated = rows.where("t IS NOT NULL").join(known, F.col("grp").eqNullSafe(F.col("of")) & (F.col("t") == F.col("then"))).select("grp", "batch", "path", "at")
+    undated = rows.where("t IS NULL").join(spans, F.col("grp").eqNullSafe(F.col("whose")), "left").select("grp", F.coalesce("final", F.lit(0)).alias("batch"), "path", "at")
+    found = dated.unionByName(undated).groupBy("grp", F.col("batch").cast("int").alias("batch"), "path").agg(F.timestamp_micros(F.max("at")).alias("at"))
+    return found.withColumnRenamed("grp", group)
 
 
 class CappedDebounce(StatefulProcessor):

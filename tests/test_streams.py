@@ -44,3 +44,44 @@ def test_capped_debounce_in_any_order(spark, tmp_path, shuffled):
     if shuffled:
         rng.shuffle(rows)
     assert streamed(spark, tmp_path, rows, 4, late=3600, quiet=5, longest=15) == want
+
+
+def gappy(rng, n):
+    """(path, µs, grp) rows: long runs, gaps of exactly the quiet time and a microsecond less, ties, an empty group name and none."""
+    rows = []
+    for grp in ("a", "", None):
+        t = 1_700_000_000_000_000 + rng.randrange(10**9)
+        for _ in range(n):
+            t += rng.choice([0, 1, 999, 1_000_000, 4_999_000, 4_999_999, 5_000_000, 5_000_001, 31_000_000])
+            rows.append((rng.choice(["x", "y", None]), t, grp))
+    return rows
+
+
+def test_capped_batches_and_sessions_over_cells(spark):
+    """Runs are told apart by cells: the same batches and sessions as by folding each group in order, and no group in one task."""
+    rng = random.Random(31)
+    rows = gappy(rng, 400)
+    events = spark.createDataFrame(rows, "path string, us long, grp string").select("path", F.timestamp_micros("us").alias("at"), "grp")
+    capped, sessions = {}, {}
+    for grp in ("a", "", None):
+        mine = sorted((r for r in rows if r[2] == grp), key=lambda r: r[1])
+        for (path, us, _), no in zip(mine, watch.capped_runs([r[1] // 1000 for r in mine], 5000, 15_000)):
+            capped[grp, no, path] = us
+        start = last = None
+        for path, us, _ in mine:
+            if last is None or us >= last + 5_000_000:
+                start = us
+            last = us
+            sessions.setdefault((grp, start), []).append((us, path))
+    micros = F.unix_micros("at")
+    assert {(r.grp, r.batch, r.path): r.us for r in watch.capped_batches(events, "grp", 5, 15).withColumn("us", micros).collect()} == capped
+    quiet = watch.quiet_batches(events, 5, by="grp").select("grp", F.unix_micros("start").alias("a"), F.unix_micros("stop").alias("b"), "events", "paths").collect()
+    assert {(r.grp, r.a): (r.b, r.events, r.paths) for r in quiet} == {k: (max(u for u, _ in v) + 5_000_000, len(v), len({p for _, p in v} - {None})) for k, v in sessions.items()}
+
+
+def test_events_without_a_time(spark):
+    """They stay in their group's last batch, as the SQL has them, where they stopped the job before."""
+    rows = [("x", 1, "a"), ("y", 100_000_000, "a"), ("z", None, "a"), ("y", None, "a"), ("w", None, "b")]
+    events = spark.createDataFrame(rows, "path string, us long, grp string").select("path", F.timestamp_micros("us").alias("at"), "grp")
+    got = {(r.grp, r.batch, r.path, r.us) for r in watch.capped_batches(events, "grp", 5, 15).withColumn("us", F.unix_micros("at")).collect()}
+    assert got == {("a", 0, "x", 1), ("a", 1, "y", 100_000_000), ("a", 1, "z", None), ("b", 0, "w", None)}
