@@ -284,3 +284,21 @@ def test_merge_chains_and_circles(spark):
     moved = spark.createDataFrame([("a", "c"), ("b", "c")], "source string, target string")
     links = spark.createDataFrame([("x", "a"), ("x", "b"), ("a", "b"), ("c", "a"), ("a", "x"), ("x", "y")], "src string, dst string")
     assert sorted(tuple(r) for r in merge.redirect_links(links, moved).collect()) == [("c", "x"), ("x", "c"), ("x", "y")]
+
+
+def test_co_citation_meets_by_pairs_of_targets(spark, monkeypatch):
+    """Pages that share one target only never meet, and pages above the bound on listed pairs lose nobody."""
+    import random
+
+    rng = random.Random(4)
+    links = {(f"n{rng.randrange(60)}", f"t{rng.randrange(25)}") for _ in range(260)} | {("n0", f"t{k}") for k in range(25)} | {("n1", f"t{k}") for k in range(0, 25, 2)}
+    edges = spark.createDataFrame(sorted(links), "src string, dst string")
+    targets = {s: {t for x, t in links if x == s} for s, _ in links}
+    want = {(a, b): len(targets[a] & targets[b]) for a in targets for b in targets if a != b and len(targets[a] & targets[b]) >= 2}
+    selves = edges.select(F.col("src").alias("self")).distinct()
+    for bound in (64, 8, 0):
+        monkeypatch.setattr(graph, "PAIRED_TARGETS", bound)
+        assert {(r.self, r.candidate): r.shared for r in graph.co_citation(edges, selves).collect()} == want
+    monkeypatch.setattr(graph, "PAIRED_TARGETS", 64)
+    lone = spark.createDataFrame([(f"m{k}", "common") for k in range(50)] + [(f"m{k}", f"own{k}") for k in range(50)], "self string, target string")
+    assert graph._two_shared(lone, lone.withColumnRenamed("self", "candidate")).count() == 0
