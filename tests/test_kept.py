@@ -110,3 +110,21 @@ def test_link_index_after_changes_is_a_rebuild(spark, tmp_path):
                 if t == u and a != b and count[t] < 4:
                     shared[a, b] = shared.get((a, b), 0) + 1
         assert {(r.a, r.b): r.shared for r in index.co_cited().collect()} == shared
+
+
+def test_tasks_of_the_index_grow_in_number_with_the_words(spark, tmp_path, monkeypatch):
+    """A bucket's postings are counted and written by several tasks where there are many words, and the index is the same."""
+    from marlstone.operators import termindex
+
+    rows = [(k, f"t{k}", [], "", " ".join(f"w{(k * j) % 37}" for j in range(1, 40))) for k in range(200)]
+    pages = spark.createDataFrame(rows, "path long, title string, aliases array<string>, summary string, text string")
+    held = {}
+    for words in (1_000_000, 500):
+        monkeypatch.setattr(termindex, "WORDS_PER_TASK", words)
+        store = Store(spark, f"{tmp_path}/{words}", 2)
+        index = termindex.TermIndex(store).update(pages, signature="a", whole=True)
+        index.update(pages.where("path < 150"), signature="b", whole=True)
+        files = spark.read.parquet(f"{tmp_path}/{words}/by_page").select("bucket", "_metadata.file_path").distinct()
+        held[words] = (sorted(map(tuple, index.postings().collect())), max(r["count"] for r in files.groupBy("bucket").count().collect()))
+    assert held[500][0] == held[1_000_000][0]
+    assert held[500][1] > 4 >= held[1_000_000][1]
