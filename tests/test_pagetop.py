@@ -5,7 +5,7 @@ import uuid
 
 import pytest
 
-from marlstone.operators import pagetop, retrieval, termindex
+from marlstone.operators import corpus, evaluation, pagetop, retrieval, termindex
 from marlstone.operators.termindex import TermIndex
 from marlstone.sources.versioned import Store
 
@@ -53,3 +53,20 @@ def test_pairs_of_queries_and_pages_are_no_rows(spark, tmp_path):
     made = index.best(queries, 3)
     assert made.count() == 150 and retrieval.top_k(index.search(queries), 3).count() == 150
     assert sum(spark.read.parquet(f).count() for f in made.inputFiles()) <= 150 * (1 + 300 // termindex.PAGES_AT_ONCE)
+
+
+def test_nearest_vectors_of_parts_and_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(90)] + [(200, [0.0] * 4), (201, None)]
+    near = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    good = {i: v for i, v in vectors if v and any(v)}
+    want = {q: [(i, s) for s, i in sorted((-near(good[q], v), i) for i, v in good.items() if i != q)[:5]] for q in range(0, 90, 10) if q in good}
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(evaluation, "VECTORS_PER_TASK", 30)
+    monkeypatch.setattr(evaluation, "SCORE_CELLS", 50)
+    got = {}
+    made = evaluation.nearest_by_cosine(frame, frame.where("vec_id % 10 = 0"), 5, block=4)
+    for r in sorted(made.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, -r.score))
+    assert got == want
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
