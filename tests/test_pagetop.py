@@ -55,6 +55,17 @@ def test_pairs_of_queries_and_pages_are_no_rows(spark, tmp_path):
     assert sum(spark.read.parquet(f).count() for f in made.inputFiles()) <= 150 * (1 + 300 // termindex.PAGES_AT_ONCE)
 
 
+def test_trigram_frequencies_are_those_of_postings_in_a_row_for_each_trigram(spark):
+    texts = ["étages 漢字x x\u0301yz étage", None, "", "a𝒳bc 𝒳𝒴 wagen", "wagens été"]
+    rows = [(p, t and t[:9], ["wagen"] * ((p or 0) % 2), None, t) for p, t in [*enumerate(texts), (3, "wagon wagen"), (None, "étage"), (None, "étage")]]
+    for some in (rows, rows[:5]):  # with and without pages that repeat a path
+        pages = spark.createDataFrame(some, PAGE)
+        want = corpus.gram_postings(corpus.field_terms(pages)).select("path", "gram").distinct().groupBy("gram").count()
+        assert sorted(map(tuple, corpus.gram_frequencies(pages).collect())) == sorted(map(tuple, want.collect()))
+    plan = corpus.gram_frequencies(spark.createDataFrame(rows[:5], PAGE))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan
+
+
 def test_nearest_vectors_of_parts_and_blocks(spark, monkeypatch):
     rng = random.Random(3)
     vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(90)] + [(200, [0.0] * 4), (201, None)]
