@@ -81,3 +81,35 @@ def test_nearest_vectors_of_parts_and_blocks(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.vec_id, -r.score))
     assert got == want
     assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidate_window_is_that_of_all_pairs_and_writes_none(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "alphabet", "gamma", "amma", "delta", "omega", "bet"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    rows = [(p, -p, say(4), [say(2)] if p % 3 else None, rng.choice([None, say(7), say(7).upper()])) for p in range(80)]
+    keywords = {q: [*rng.sample(words, 2), words[q], words[q]] if q != 2 else [] for q in range(6)}
+    context = {q: rng.sample(words, 3) for q in range(7)}  # the last has no keywords
+    has = lambda t, w: t is not None and w in t.lower()
+    fine = {w for w in words if 0 < sum(has(r[4], w) for r in rows) <= int(sum(r[4] is not None for r in rows) * 0.5)}
+    assert fine and fine != set(words)
+    want = []
+    for q in range(7):
+        points = [(-sum(3 if has(t, w) else 2 if any(has(a, w) for a in al or ()) else 0 for w in keywords.get(q, [])) - sum(has(x, w) for w in context[q] if w in fine), pos, p) for p, pos, t, al, x in rows]
+        want += [(q, p, -s, n + 1) for n, (s, _, p) in enumerate(sorted(points)[:9]) if q in keywords or s]
+    written, keep = [], retrieval.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    monkeypatch.setattr(retrieval, "WINDOW_PAGES", 40)
+    monkeypatch.setattr(retrieval, "WINDOW_QUERIES", 3)
+    pages = spark.createDataFrame(rows, "path long, pos long, title string, aliases array<string>, text string")
+    asked = spark.createDataFrame(list(keywords.items()), "query_id int, keywords array<string>")
+    said = spark.createDataFrame([(q, w) for q, held in context.items() for w in held], "query_id int, word string")
+    got = retrieval.candidate_window(pages, asked, said, k=9)
+    assert sorted((r.query_id, r.path, r.score, r.rank) for r in got.collect()) == sorted(want)
+    assert max(written) <= max(80, 7 * 9 * 2)
