@@ -41,6 +41,25 @@ def test_similar_sets_match_all_pairs(spark):
     assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
 
 
+def test_unlike_sets_that_share_a_rare_item_are_not_compared(spark, monkeypatch):
+    rng = random.Random(2)
+    sets = [(i, [1000 + i // 2, *rng.sample(range(200), 40)]) for i in range(60)]  # each two share an item that no others have
+    frame = spark.createDataFrame(sets, "id int, items array<int>")
+    monkeypatch.setattr(dedup, "jaccard", lambda a, b: F.raise_error(F.lit("compared")).cast("double"))
+    assert dedup.similar_sets(frame, 0.8).count() == 0
+
+
+def test_similar_sets_of_all_sizes(spark):
+    """Sets on both sides of every bound of the sketches, each with a copy that is just like enough and one that is not."""
+    sets = []
+    for n in (1, 2, 9, 55, 63, 64, 70, 255, 256, 799, 800, 810, 3199, 3300, 4100):
+        own = [n * 10_000 + k for k in range(n)]
+        sets += [own, own[: -(-4 * n // 5)], own[: 4 * n // 5 - 1] + [-n]]
+    sets = [(i, s) for i, s in enumerate(sets) if s]
+    got = {(r.a, r.b) for r in dedup.similar_sets(spark.createDataFrame(sets, "id int, items array<int>"), 0.8).collect()}
+    assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8}
+
+
 def test_duplicate_signals(spark):
     none = []
     page = lambda p, t, al=none, links=none, words=none, fp="", inc=none: (p, t, al, links, words, fp, inc)
