@@ -112,6 +112,29 @@ def test_link_index_after_changes_is_a_rebuild(spark, tmp_path):
         assert {(r.a, r.b): r.shared for r in index.co_cited().collect()} == shared
 
 
+def test_links_are_dealt_to_more_tasks_where_they_are_more(spark, tmp_path, monkeypatch):
+    """The links of a bucket are written by several tasks; an index without pairs has the same links and counts, and keeps no pairs."""
+    from marlstone.operators import linkindex
+
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    rows = [(f"p{k}", f"t{(k * j) % 97}") for k in range(300) for j in range(1, 6)]
+    gone = frame([(f"p{k}", "t1") for k in range(0, 300, 3)])
+    held = {}
+    for links, paired in ((250_000, True), (50, True), (50, False)):
+        monkeypatch.setattr(linkindex, "LINKS_PER_TASK", links)
+        root = f"{tmp_path}/{links}-{paired}"
+        index = LinkIndex(Store(spark, root, 2), paired=paired).update(frame(rows + rows)).update(gone)
+        files = spark.read.parquet(f"{root}/links").select("bucket", "version", "_metadata.file_path").distinct().groupBy("bucket", "version").count()
+        tables = [index.links(), index.in_degrees(), *([index.co_cited()] if paired else [])]
+        held[links, paired] = [sorted(map(tuple, t.collect())) for t in tables], max(r["count"] for r in files.collect())
+    assert held[50, True][0] == held[250_000, True][0] and held[50, False][0] == held[50, True][0][:2]
+    assert held[250_000, True][1] == 1 < held[50, True][1]
+    with pytest.raises(ValueError):
+        index.co_cited()
+    with pytest.raises(ValueError):
+        LinkIndex(index.store).update(gone)
+
+
 def test_tasks_of_the_index_grow_in_number_with_the_words(spark, tmp_path, monkeypatch):
     """A bucket's postings are counted and written by several tasks where there are many words, and the index is the same."""
     from marlstone.operators import termindex
