@@ -4,7 +4,10 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from marlstone import plans
+from marlstone.functions.text import context_keywords
 from marlstone.operators import corpus, evaluation, pagetop, retrieval, termindex
 from marlstone.operators.termindex import TermIndex
 from marlstone.sources.versioned import Store
@@ -113,3 +116,14 @@ def test_candidate_window_is_that_of_all_pairs_and_writes_none(spark, monkeypatc
     got = retrieval.candidate_window(pages, asked, said, k=9)
     assert sorted((r.query_id, r.path, r.score, r.rank) for r in got.collect()) == sorted(want)
     assert max(written) <= max(80, 7 * 9 * 2)
+
+
+def test_candidate_window_reads_questions_and_pages_to_their_ends(spark):
+    far = "x " * 200 + "beyond", "y " * 1500 + "beyond"
+    asked = spark.createDataFrame([(1, far[0])], "query_id int, text string").select("query_id", F.explode(context_keywords(F.col("text"))).alias("word"))
+    assert [tuple(r) for r in asked.collect()] == [(1, "beyond")]
+    pages = spark.createDataFrame([(1, 1, "a", None, "none"), (2, 2, "b", None, far[1]), (3, 3, "c", None, "z")], "path long, pos long, title string, aliases array<string>, text string")
+    keywords = spark.createDataFrame([(1, ["absent"])], "query_id int, keywords array<string>")
+    got = retrieval.candidate_window(pages, keywords, asked, k=1)
+    assert [(r.path, r.score) for r in got.collect()] == [(2, 1)]
+    assert not any(cut in plans.SQL["candidate_window"] for cut in ("left(text, 300)", "left(lower(text)"))
